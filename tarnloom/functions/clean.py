@@ -6,7 +6,7 @@ whole-stage code generation and can be pushed next to a scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Printable ASCII and its full-width twins, in code point order.
@@ -27,18 +27,23 @@ def narrow(value: Column | str) -> Column:
     return F.when(c.rlike("[\\uFF01-\\uFF5E]"), F.translate(c, FULLWIDTH, ASCII)).otherwise(c)
 
 
-def hex_digest(value: Column | str, digits: int) -> Column:
-    """The ``digits`` lower-case hex digits of a hash however it is written.
+def with_hex(df: DataFrame, source: str, digits: int, name: str) -> DataFrame:
+    """``df`` with ``name``, the ``digits`` lower-case hex digits of the hash in
+    ``source`` however it is written.
 
     Prefixes (``0x``, ``blake3:``, ``blake3=``), separators, white space and
     case are dropped. Null, anything of another length or alphabet, and
-    placeholders of one repeated digit give null.
+    placeholders of one repeated digit give null. The steps are separate
+    projections so that no step is evaluated twice, and a value already in form
+    skips the replacements.
     """
-    x = F.lower(narrow(value))
-    x = F.regexp_replace(x, r"[\s\p{Z}\p{Cf}]+", "")
-    x = F.regexp_replace(x, r"^(?:blake3[:=]|0x)", "")
-    x = F.regexp_replace(x, r"[:_.\-]+", "")
-    return F.when(x.rlike(f"^[0-9a-f]{{{digits}}}$") & ~x.rlike(r"^(.)\1*$"), x)
+    form = f"\\A[0-9a-f]{{{digits}}}\\z"  # not $, which also matches before a last line break
+    c = F.col(source)
+    x = F.regexp_replace(F.lower(narrow(c)), r"[\s\p{Z}\p{Cf}]+", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"^(?:blake3[:=]|0x)", ""), r"[:_.\-]+", "")
+    staged = df.withColumn("_x", F.when(c.rlike(form), c).otherwise(x))
+    x = F.col("_x")
+    return staged.withColumn(name, F.when(x.rlike(form) & (x != F.repeat(F.substring(x, 1, 1), F.lit(digits))), x)).drop("_x")
 
 
 def hex_long(value: Column, start: int) -> Column:
@@ -48,18 +53,18 @@ def hex_long(value: Column, start: int) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def subject_key(value: Column | str) -> Column:
-    """A subject by its letters (case aside) and its number, as ``ALB|331``.
+def with_subject(df: DataFrame, source: str, name: str) -> DataFrame:
+    """``df`` with ``name``: a subject by its letters (case aside) and its number, as ``ALB|331``.
 
     Letters before and after the number both count, so ``IBX-71-II`` is not
-    ``IBX-71``. Leading zeros and separators do not count. Entries without a
-    digit other than zero that name nobody, and null, give null.
+    ``IBX-71``. Leading zeros and separators do not count. Entries that name
+    nobody (placeholder words, or neither letters nor a number) and null give null.
     """
-    x = F.upper(narrow(value))
-    letters = F.regexp_replace(x, r"[^\p{L}]+", "")
-    number = F.regexp_replace(F.regexp_replace(x, r"[^0-9]+", ""), r"^0+", "")
-    nobody = ((number == "") & ((letters == "") | letters.isin(*NOBODY))) | ((letters == "") & (number == ""))
-    return F.when(x.isNotNull() & ~nobody, F.concat_ws("|", letters, number))
+    x = F.col("_x")
+    staged = df.withColumn("_x", F.upper(narrow(source)))
+    staged = staged.withColumn("_letters", F.regexp_replace(x, r"[^\p{L}]+", "")).withColumn("_number", F.regexp_replace(F.regexp_replace(x, r"[^0-9]+", ""), r"^0+", ""))
+    nobody = (F.col("_number") == "") & F.col("_letters").isin("", *NOBODY)
+    return staged.withColumn(name, F.when(x.isNotNull() & ~nobody, F.concat_ws("|", "_letters", "_number"))).drop("_x", "_letters", "_number")
 
 
 def person_key(value: Column | str) -> Column:

@@ -57,9 +57,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is
-    (the join then shuffles)."""
+def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df``, of narrow rows, marked for broadcast if a count proves that it has at
+    most ``limit`` of them, else as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
