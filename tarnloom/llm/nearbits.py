@@ -2,29 +2,38 @@
 
 A signature is cut at fixed places into ``m`` segments. If two signatures differ
 in at most ``radius`` bits, some segment i differs in at most ``radii[i]`` bits
-(pigeonhole), so probing the chunk table with every segment value within that
-distance finds every pair: nothing is approximate. ``m`` is chosen from the
+(pigeonhole), so looking up every segment value within that distance in the
+chunk table finds every pair: nothing is approximate. ``m`` is chosen from the
 sizes of the two sides so that probes plus chance candidates are fewest; each
 choice is complete.
+
+A chunk travels by the upper bits of its segment value (its route). Flips among
+the upper bits are probed by copies of the row, flips among the lower bits inside
+the partition that receives the route, in sorted arrays. Distinct signatures
+are nearly uniform, so routes are even; copies of one signature are one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import hex_digest, hex_long
+from ..functions.clean import hex_long, with_hex
 
 BITS = 128
+ROWS_PER_PARTITION = 1_000_000
+SEGMENT, SIDE, USED = 44, 60, 40  # bit places in a chunk: segment number, stored side, flips used on the route
 
 
-def signature_columns(value: str) -> tuple[Column, Column]:
-    """(hi, lo) of a signature however it is written; null if missing or a placeholder."""
-    x = hex_digest(value, 32)
-    return hex_long(x, 1), hex_long(x, 17)
+def with_signature(df: DataFrame, source: str = "signature") -> DataFrame:
+    """``df`` with (hi, lo) of a signature however it is written; null if missing or a placeholder."""
+    return with_hex(df, source, 32, "_hex").withColumn("hi", hex_long(F.col("_hex"), 1)).withColumn("lo", hex_long(F.col("_hex"), 17)).drop("_hex")
 
 
 def segments(m: int, radius: int) -> list[tuple[int, int, int]]:
@@ -49,7 +58,12 @@ def plan(radius: int, indexed: int, probing: int) -> int:
                 total += indexed + probing * probes * (1 + indexed / 2.0**width)
         return total
 
-    return min(range(max(1, -(-BITS // 40)), BITS // 8 + 1), key=work)
+    return min(range(ceil(BITS / 38), BITS // 8 + 1), key=work)
+
+
+def route_bits(m: int, partitions: int) -> int:
+    """Upper bits that make a route: at least 16 routes for each partition."""
+    return min(8, max(4, ceil(log2(16 * partitions / m))))
 
 
 def _cut(hi: Column, lo: Column, at: int, width: int) -> Column:
@@ -63,39 +77,102 @@ def _cut(hi: Column, lo: Column, at: int, width: int) -> Column:
     return low.bitwiseAND(mask)
 
 
-def _key(i: int, value: Column) -> Column:
-    return F.lit(i << 44).bitwiseOR(value)
+def _route(i: int, at: int, bits: int) -> Column:
+    return F.lit(i << SEGMENT).bitwiseOR(_cut(F.col("hi"), F.col("lo"), at, bits))
 
 
-def chunk_table(signatures: DataFrame, m: int, radius: int) -> DataFrame:
-    """(chunk, hi, lo): which signatures have which segment value."""
-    keys = [_key(i, _cut(F.col("hi"), F.col("lo"), at, w)) for i, (at, w, r) in enumerate(segments(m, radius)) if r >= 0]
+def chunk_table(signatures: DataFrame, m: int, radius: int, bits: int) -> DataFrame:
+    """(chunk, hi, lo): which signatures have which routes; the stored side."""
+    keys = [_route(i, at, bits).bitwiseOR(F.lit(1 << SIDE)) for i, (at, _, r) in enumerate(segments(m, radius)) if r >= 0]
     return signatures.select(F.explode(F.array(*keys)).alias("chunk"), "hi", "lo")
 
 
-def probes(signatures: DataFrame, m: int, radius: int) -> DataFrame:
-    """(chunk, hi, lo): every segment value within the segment's radius."""
+def probes(signatures: DataFrame, m: int, radius: int, bits: int) -> DataFrame:
+    """(chunk, hi, lo): every route within each segment's radius, with the flips it took."""
 
-    def within(i: int, at: int, width: int, r: int) -> Column:
-        masks = [sum(1 << b for b in bits) for k in range(r + 1) for bits in combinations(range(width), k)]
-        own = _key(i, _cut(F.col("hi"), F.col("lo"), at, width))
+    def within(i: int, at: int, r: int) -> Column:
+        masks = [sum(1 << b for b in flip) | k << USED for k in range(min(r, bits) + 1) for flip in combinations(range(bits), k)]
+        own = _route(i, at, bits)
         return F.transform(F.lit(masks).cast("array<bigint>"), lambda mask: own.bitwiseXOR(mask))
 
-    lists = [within(i, *s) for i, s in enumerate(segments(m, radius)) if s[2] >= 0]
+    lists = [within(i, at, r) for i, (at, _, r) in enumerate(segments(m, radius)) if r >= 0]
     return signatures.select(F.explode(F.concat(*lists)).alias("chunk"), "hi", "lo")
 
 
-def distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.hi").bitwiseXOR(F.col(f"{b}.hi"))) + F.bit_count(F.col(f"{a}.lo").bitwiseXOR(F.col(f"{b}.lo")))
-
-
-def near(probing: DataFrame, indexed: DataFrame, radius: int, m: int | None = None) -> DataFrame:
-    """(p_hi, p_lo, i_hi, i_lo, shared): signatures of the two sides that share at
-    least 128 - radius bits, each pair once. Both sides are distinct (hi, lo)."""
-    m = m or plan(radius, indexed.count(), probing.count())
-    hits = probes(probing, m, radius).alias("p").join(chunk_table(indexed, m, radius).alias("i"), "chunk")
-    return (
-        hits.where(distance("p", "i") <= radius)
-        .select(F.col("p.hi").alias("p_hi"), F.col("p.lo").alias("p_lo"), F.col("i.hi").alias("i_hi"), F.col("i.lo").alias("i_lo"), (BITS - distance("p", "i")).alias("shared"))
-        .distinct()
-    )
+def _values(hi: np.ndarray, lo: np.ndarray, at: int, width: int) -> np.ndarray:
+    end = at + width
+    mask = np.uint64((1 << width) - 1)
+    if end <= 64:
+        return (hi >> np.uint64(64 - end)) & mask
+    low = lo >> np.uint64(128 - end)
+    if at < 64:
+        low = (hi << np.uint64(end - 64)) | low
+    return low & mask
+
+
+def _meet(chunk: np.ndarray, hi: np.ndarray, lo: np.ndarray, m: int, radius: int, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of a partition's probe and stored rows within the radius, segment by segment."""
+    stored = (chunk >> np.int64(SIDE)) & 1 == 1
+    segment = (chunk >> np.int64(SEGMENT)) & 0xFF
+    used = (chunk >> np.int64(USED)) & 0xF
+    upper = chunk & np.int64((1 << bits) - 1)
+    for i, (at, width, r) in enumerate(segments(m, radius)):
+        s, p = np.nonzero(stored & (segment == i))[0], np.nonzero(~stored & (segment == i))[0]
+        if r < 0 or not len(s) or not len(p):
+            continue
+        low = width - bits
+        values = _values(hi[s], lo[s], at, width)
+        order = np.argsort(values, kind="stable")
+        s, values = s[order], values[order]
+        own = (_values(hi[p], lo[p], at, width) & np.uint64((1 << low) - 1)) | (upper[p].astype(np.uint64) << np.uint64(low))
+        for k in range(min(r, low) + 1):
+            able = used[p] <= r - k
+            q, start = p[able], own[able]
+            for flip in combinations(range(low), k):
+                want = start ^ np.uint64(sum(1 << b for b in flip))
+                left = np.searchsorted(values, want, "left")
+                hit = np.nonzero((left < len(values)) & (values[np.minimum(left, len(values) - 1)] == want))[0]
+                if not len(hit):
+                    continue
+                n = np.searchsorted(values, want[hit], "right") - left[hit]
+                a = np.repeat(q[hit], n)
+                b = s[np.repeat(left[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                high, low_ = hi[a] ^ hi[b], lo[a] ^ lo[b]
+                gap = np.bitwise_count(high) + np.bitwise_count(low_)
+                near = gap <= radius
+                # a pair that meets in several segments is given in the first of them
+                for at_, width_, r_ in segments(m, radius)[:i]:
+                    near &= np.bitwise_count(_values(high, low_, at_, width_)) > max(r_, -1)
+                if near.any():
+                    yield hi[a[near]], lo[a[near]], hi[b[near]], lo[b[near]], BITS - gap[near].astype(np.int32)
+
+
+def meet(probing: DataFrame, stored: DataFrame, m: int, radius: int, bits: int, partitions: int) -> DataFrame:
+    """(p_hi, p_lo, i_hi, i_lo, shared): pairs of probe rows and chunk-table rows that share
+    at least 128 - radius bits, each pair once."""
+    route = F.col("chunk").bitwiseAND(F.lit((1 << USED) - 1 | 0xFF << SEGMENT))
+    names = ["p_hi", "p_lo", "i_hi", "i_lo", "shared"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        if not whole:
+            return
+        chunk, hi, lo = (np.concatenate([np.asarray(b.column(i)) for b in whole]) for i in range(3))
+        whole.clear()
+        for found in _meet(chunk, hi.view(np.uint64), lo.view(np.uint64), m, radius, bits):
+            columns = [pa.array(x.view(np.int64)) for x in found[:4]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found[4])], names)
+
+    rows = probing.union(stored).repartition(partitions, route)
+    return rows.mapInArrow(run, "p_hi long, p_lo long, i_hi long, i_lo long, shared int")
+
+
+def near(probing: DataFrame, indexed: DataFrame, radius: int) -> DataFrame:
+    """(p_hi, p_lo, i_hi, i_lo, shared) for two tables of distinct (hi, lo)."""
+    n, q = indexed.count(), probing.count()
+    m = plan(radius, n, q)
+    least = int(probing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = route_bits(m, least)
+    copies = sum(sum(comb(bits, k) for k in range(r + 1)) for _, _, r in segments(m, radius) if r >= 0)
+    partitions = max(least, ceil((n * m + q * copies) / ROWS_PER_PARTITION))
+    return meet(probes(probing, m, radius, bits), chunk_table(indexed, m, radius, bits), m, radius, bits, partitions)

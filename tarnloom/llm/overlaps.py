@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import hex_digest, subject_key
+from ..functions.clean import with_hex, with_subject
 from ..functions.spread import cut, salted_join, small
 from . import nearbits
 
@@ -29,12 +29,11 @@ def members(images: DataFrame, signatures: DataFrame, subjects: DataFrame, membe
     planned versions are evaluation splits. Memberships of unplanned versions,
     null ids and repeated rows are dropped.
     """
-    hi, lo = nearbits.signature_columns("signature")
     role = plan.where("manual_set_version_id is not null").groupBy("manual_set_version_id").agg(F.max(F.lower(F.trim("split_name")) == "train").alias("train"))
     own = memberships.where("image_id is not null").select("manual_set_version_id", "image_id").distinct().join(small(role), "manual_set_version_id")
-    marks = signatures.select("image_id", hi.alias("hi"), lo.alias("lo")).where("hi is not null and lo is not null").distinct()
-    people = subjects.select("image_id", subject_key("subject_id").alias("subject")).where("subject is not null").distinct()
-    base = images.select(F.col("id").alias("image_id"), hex_digest("blake3_hash", 64).alias("digest"))
+    marks = nearbits.with_signature(signatures.select("image_id", "signature")).where("hi is not null and lo is not null").drop("signature").distinct()
+    people = with_subject(subjects.select("image_id", "subject_id"), "subject_id", "subject").where("subject is not null").drop("subject_id").distinct()
+    base = with_hex(images.select(F.col("id").alias("image_id"), "blake3_hash"), "blake3_hash", 64, "digest").drop("blake3_hash")
     joined = own.join(base, "image_id", "left").join(people, "image_id", "left").join(marks, "image_id", "left")
     return joined.select("image_id", F.col("manual_set_version_id").alias("version"), F.coalesce("train", F.lit(False)).alias("train"), "digest", "subject", "hi", "lo")
 
