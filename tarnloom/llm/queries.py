@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlaps, repeats
+from . import consensus, lookalike, overlaps, packing, related, repeats, representative, tokens, vocabulary
 
 
 def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -28,6 +28,60 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.report(*_t(spark, sf_dir, *_SPLIT, "batches"))
 
 
+_LABELS = ("cls_annotations", "annotators", "categories")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(*_t(spark, sf_dir, *_LABELS)).select("annotation_batch_id", "image_id", "category_id")
+
+
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement(*_t(spark, sf_dir, "cls_annotations", "annotators"))
+
+
+def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(*_t(spark, sf_dir, *_LABELS))
+
+
+_ORIGIN = ("images", "image_subjects", "batches", "source_trust")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative.survivors(*_t(spark, sf_dir, *_ORIGIN))
+
+
+def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative.spellings(*_t(spark, sf_dir, *_ORIGIN))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related.groups(*_t(spark, sf_dir, "image_subjects", "image_lineage")).select("image_id", "group_image_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related.splits(*_t(spark, sf_dir, "images", "image_subjects", "image_lineage", "split_plan"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.map_values(spark, *_t(spark, sf_dir, "categories", "finding_reference"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(*_t(spark, sf_dir, "documents"))
+
+
+def p8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(*_t(spark, sf_dir, "documents", "containers"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(*_t(spark, sf_dir, "documents"))
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.forms(*_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
@@ -51,8 +105,46 @@ parted AS (SELECT image_id, regexp_replace(u, '[^\\p{{L}}]+', '', 'g') AS letter
 people AS (SELECT DISTINCT image_id, letters || '|' || number AS subject FROM parted WHERE NOT (number = '' AND letters IN ({_NOBODY})))"""
 
 
+_FORM = lookalike.form_sql("text")
+_BARE = f"""
+bare AS (SELECT id AS image_id, image_batch_id, license_id, CASE WHEN date_captured > DATE '1970-01-01' AND date_captured < DATE '2100-01-01' THEN date_captured END AS day FROM images),
+made AS (SELECT batch_id AS image_batch_id, created_at, trust_rank FROM batches LEFT JOIN source_trust USING (original_set_name) WHERE batch_kind = 'image'),
+voters AS (SELECT d.digest, b.image_id, b.license_id IS NOT NULL AS license_ok, b.day IS NOT NULL AS date_ok, b.image_id IN (SELECT image_id FROM people) AS subject_ok, m.trust_rank, m.created_at
+  FROM bare b JOIN digests d USING (image_id) LEFT JOIN made m ON m.image_batch_id = b.image_batch_id WHERE d.digest IS NOT NULL)"""
+_ORDER = "trust_rank ASC NULLS LAST, created_at DESC NULLS LAST, image_id ASC"
+
+
+def _field(name: str, condition: str, first: str = "") -> str:
+    return f"""SELECT group_image_id, '{name}' AS field_name, image_id FROM (
+  SELECT v.*, g.group_image_id, row_number() OVER (PARTITION BY digest ORDER BY {first}{_ORDER}) AS place FROM voters v JOIN sizes g USING (digest) WHERE {condition}) WHERE place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_agreement": f"""WITH who AS (SELECT id, regexp_replace(translate(lower(translate(name, '{_FULL}', '{_HALF}')), 'аеорсухіѕԁһԝԛјӏɡкνο', 'aeopcyxisdhwqjlgkvo'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM annotators),
+people AS (SELECT id, CASE WHEN k IS NULL OR k = '' THEN id ELSE min(id) OVER (PARTITION BY k) END AS person FROM who),
+claims AS (SELECT DISTINCT annotation_batch_id AS b, image_id AS i, category_id AS c, coalesce(person, annotator_id) AS p FROM cls_annotations l LEFT JOIN people ON people.id = l.annotator_id
+  WHERE score > 0 AND annotation_batch_id IS NOT NULL AND image_id IS NOT NULL AND category_id IS NOT NULL AND annotator_id IS NOT NULL),
+counted AS (SELECT b, i, c, count(*) AS n FROM claims GROUP BY ALL),
+item AS (SELECT b, i, sum(n) AS m, sum(n * n) AS q FROM counted GROUP BY ALL HAVING sum(n) >= 2),
+seen AS (SELECT b, count(*) AS items, sum(m) AS r, sum((m * m - q)::DOUBLE / (m - 1)) AS pairs FROM item GROUP BY b),
+share AS (SELECT b, sum(t * t) AS squares FROM (SELECT b, c, sum(n) AS t FROM counted JOIN item USING (b, i) GROUP BY b, c) GROUP BY b),
+rates AS (SELECT b, items, r, pairs / r AS seen_, (r * r - squares)::DOUBLE / (r * (r - 1)) AS chance FROM seen JOIN share USING (b))
+SELECT b AS annotation_batch_id, items::BIGINT AS items, r::BIGINT AS ratings, seen_ AS observed_disagreement, chance AS expected_disagreement, CASE WHEN chance > 0 THEN 1 - seen_ / chance END AS alpha FROM rates""",
+        "p4_found": f"""WITH {_IDS.lstrip()},{_PEOPLE},{_BARE},
+sizes AS (SELECT digest, min(image_id) AS group_image_id FROM voters GROUP BY digest HAVING count(*) > 1)
+{_field("license_id", "license_ok")} UNION ALL {_field("date_captured", "date_ok")} UNION ALL {_field("subject_id", "subject_ok")}
+UNION ALL {_field("record", "true", "license_ok::INT + date_ok::INT + subject_ok::INT DESC, ")}""",
+        "p5_found": f"""WITH RECURSIVE {_PEOPLE.lstrip()},
+rep AS (SELECT image_id, min(image_id) OVER (PARTITION BY subject) AS head FROM people),
+edges AS (SELECT image_id AS a, head AS b FROM rep WHERE image_id <> head UNION SELECT parent_image_id, child_image_id FROM image_lineage WHERE parent_image_id <> child_image_id),
+either_way AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS node, a AS root FROM either_way UNION SELECT e.b, r.root FROM reach r JOIN either_way e ON e.a = r.node WHERE r.root < e.b)
+SELECT node AS image_id, min(root) AS group_image_id FROM reach GROUP BY node""",
+        "p9_found": f"""WITH own AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL),
+shown AS (SELECT * FROM own WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shown a JOIN shown b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+        "p9_forms": f"SELECT doc_id, {_FORM} AS form FROM documents",
         "p1_found": f"""WITH {_IDS.lstrip()},
 rec AS (SELECT d.*, m.hi, m.lo, n.image_batch_id IS NOT NULL AS fresh FROM digests d LEFT JOIN marks m USING (image_id) LEFT JOIN new_batches n USING (image_batch_id)),
 fresh AS (SELECT * FROM rec WHERE fresh),
