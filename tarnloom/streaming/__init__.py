@@ -1,0 +1 @@
+"""Following deliveries as they arrive."""
