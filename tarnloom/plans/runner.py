@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +13,7 @@ from ..functions.spread import cut
 from ..operators import OPERATORS, Candidates, Result
 from ..operators.base import DECISION
 from ..sources.catalog import Catalog
-from ..spec import Spec
-
-CUT_AFTER = 8  # chained steps after which a candidate set is written and read again
-
+from ..spec import Spec, Step
 
 @dataclass
 class Run:
@@ -32,25 +29,30 @@ class Run:
         return [f"{s.id}: {w}" for s in self.spec.steps for w in self.results[s.id].warnings]
 
 
+PARTS = ("images", "cls", "det", "targets")
+
+
+def step_result(catalog: Catalog, step: Step, inputs: list[Candidates]) -> Result:
+    """Applies a step and writes its candidate set to the shared folder.
+
+    An operator uses its input several times and its checks run jobs, so without the cut
+    plans would multiply with every step. What is written is the narrow candidate set; parts
+    that an input already has are not written again, and the parts are written side by side.
+    """
+    result = OPERATORS[step.op](catalog, inputs, step)
+    own = result.candidates
+    known = {id(getattr(i, p)) for i in inputs for p in PARTS}
+    with ThreadPoolExecutor(len(PARTS)) as pool:
+        cuts = {p: pool.submit(cut, getattr(own, p), p) for p in PARTS if id(getattr(own, p)) not in known}
+    result.candidates = own.with_(**{p: f.result() for p, f in cuts.items()})
+    return result
+
+
 def run(catalog: Catalog, spec: Spec) -> Run:
-    """All declared steps in order, also those that ``final`` does not reach: their errors
-    count. Frames that several steps read are persisted; long chains are cut."""
-    readers: dict[str, int] = {}
-    for s in spec.steps:
-        for name in s.inputs:
-            readers[name] = readers.get(name, 0) + 1
+    """All declared steps in order, also those that ``final`` does not reach: their errors count."""
     results: dict[str, Result] = {}
-    depth: dict[str, int] = {}
     for s in spec.steps:
-        result = OPERATORS[s.op](catalog, [results[i].candidates for i in s.inputs], s)
-        depth[s.id] = 1 + max((depth[i] for i in s.inputs), default=0)
-        if depth[s.id] % CUT_AFTER == 0:
-            own = result.candidates
-            result.candidates = Candidates(cut(own.images, "images"), cut(own.cls, "cls"), cut(own.det, "det"), cut(own.targets, "targets"))
-        elif readers.get(s.id, 0) > 1:
-            for part in (result.candidates.images, result.candidates.cls, result.candidates.det):
-                part.persist(StorageLevel.MEMORY_AND_DISK)
-        results[s.id] = result
+        results[s.id] = step_result(catalog, s, [results[i].candidates for i in s.inputs])
     return Run(spec, results)
 
 

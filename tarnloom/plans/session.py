@@ -9,7 +9,7 @@ from __future__ import annotations
 from typing import Any
 
 from ..errors import SpecError
-from ..operators import OPERATORS, Candidates, Result
+from ..operators import Candidates, Result
 from ..operators.conflicts import find_conflicts
 from ..operators.dedup import find_duplicates
 from ..operators.mapping import category_report
@@ -18,6 +18,7 @@ from ..sources.catalog import Catalog
 from ..spec import Spec, Step
 from . import reads
 from .publish import Author, Store, build
+from .runner import step_result
 
 
 class Session:
@@ -52,7 +53,7 @@ class Session:
     def _apply(self, op: str, **params: Any) -> Result:
         step = Step.parse({"id": self._name(op), "op": op, **{k: v for k, v in params.items() if v is not None}})
         inputs = [self.results[i].candidates for i in step.inputs]
-        result = OPERATORS[op](self.catalog, inputs, step)
+        result = step_result(self.catalog, step, inputs)
         self.steps.append(step)
         self.results[step.id] = result
         self.head = step.id
@@ -239,9 +240,8 @@ class Session:
         if self.steps:
             raise SpecError("a specification is loaded into an empty session only")
         for s in spec.steps:
-            result = OPERATORS[s.op](self.catalog, [self.results[i].candidates for i in s.inputs], s)
+            self.results[s.id] = step_result(self.catalog, s, [self.results[i].candidates for i in s.inputs])
             self.steps.append(s)
-            self.results[s.id] = result
             self.made[s.op] = self.made.get(s.op, 0) + 1
         self.head = spec.final
 
