@@ -6,11 +6,11 @@ runs on the lineage edges alone: alternating large-star and small-star rounds,
 each written to the shared folder.
 
 For the split, the histogram of component sizes (distinct sizes, not
-components) goes to the driver. Largest differencing fills many equal bins:
-components of one size are dealt out in full rounds of one to each bin, what
-remains of each size is combined by repeatedly merging the two partitions of
-the largest difference, heavy bins of one onto light bins of the other. Whole
-bins are then given to splits by target share. Components find their bin by
+components) goes to the driver. Largest differencing fills many equal bins: what
+each size has beyond full rounds of the bins is combined by repeatedly merging
+the two partitions of the largest difference, heavy bins of one onto light bins
+of the other; the full rounds are then dealt so that the bins level. Whole bins
+are given to splits by target share. Components find their bin by
 their position in their size class, which is numbered without gathering it.
 """
 
@@ -88,9 +88,28 @@ def groups(subjects: DataFrame, lineage: DataFrame, block: int = BLOCK) -> DataF
     return named.union(alone.join(size, "root").select("image_id", "root", "members")).select("image_id", F.col("root").alias("group_image_id"), "members")
 
 
+def level(weights: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` components of one size each bin takes so that the bins end as
+    level as they can: all bins rise to one height, the last few go to the lightest."""
+    low, high = min(weights), max(weights) + size * (count // len(weights) + 1)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if sum(max(0, mid - w) // size for w in weights) <= count:
+            low = mid
+        else:
+            high = mid - 1
+    take = [max(0, low - w) // size for w in weights]
+    for i in sorted(range(len(weights)), key=lambda i: weights[i] + size * take[i])[: count - sum(take)]:
+        take[i] += 1
+    return take
+
+
 def difference(sizes: dict[int, int], bins: int) -> list[Counter]:
-    """Largest differencing: ``bins`` counters size -> components with nearly equal weights."""
-    dealt = {s: c // bins for s, c in sizes.items() if c >= bins}
+    """Largest differencing: ``bins`` counters size -> components with nearly equal weights.
+
+    What each size has beyond full rounds of the bins is differenced; the full
+    rounds, large sizes first, then level the bins.
+    """
     heap, number = [], 0
     for s in sorted(sizes):
         for _ in range(sizes[s] % bins):
@@ -104,8 +123,14 @@ def difference(sizes: dict[int, int], bins: int) -> list[Counter]:
         merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda t: -t[0])
         heapq.heappush(heap, (merged[-1][0] - merged[0][0], number, merged))
         number += 1
-    rest = [c for _, c in heap[0][2]] if heap else [Counter() for _ in range(bins)]
-    return [c + Counter(dealt) for c in rest]
+    out = heap[0][2] if heap else [(0, Counter())] * bins
+    weights, held = [w for w, _ in out], [Counter(c) for _, c in out]
+    for s in sorted(sizes, reverse=True):
+        for i, n in enumerate(level(weights, s, sizes[s] // bins * bins)):
+            if n:
+                held[i][s] += n
+                weights[i] += s * n
+    return held
 
 
 def allocate(bins: list[Counter], shares: list[float]) -> list[int]:
