@@ -29,7 +29,7 @@ def manual_override(catalog: Catalog, inputs: list[Candidates], step: Step) -> R
     inside: dict[str, set[int]] = {}
     for kind in ("cls", "det"):
         every = catalog.table(f"{kind}_annotations").select(F.col("id").alias("ann_id"), "image_id").distinct()
-        named = every.join(frame(ann_ids[kind], "ann_id"), "ann_id", "left_semi").union(every.join(frame(image_ids, "image_id"), "image_id", "left_semi")).distinct()
+        named = every.join(frame(ann_ids[kind], "ann_id"), "ann_id", "left_semi").unionByName(every.join(frame(image_ids, "image_id"), "image_id", "left_semi")).select("ann_id", "image_id").distinct()
         home[kind] = {r[0]: r[1] for r in named.collect()}
         inside[kind] = {r[0] for r in getattr(own, kind).join(frame(home[kind], "ann_id"), "ann_id", "left_semi").select("ann_id").collect()}
     wanted = sorted({*image_ids, *(i for h in home.values() for i in h.values())})

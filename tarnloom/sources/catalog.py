@@ -77,6 +77,24 @@ class Catalog:
         at = self.batches("annotation").select(F.col("batch_id").alias("annotation_batch_id"), F.concat_ws("@", "original_set", "batch_version").alias("source"))
         return own.join(small(at), "annotation_batch_id")
 
+    # dimension frames as the fact frames join them; their size is counted once
+
+    @cached_property
+    def _image_batches(self) -> DataFrame:
+        return small(self.batches("image").select(F.col("batch_id").alias("image_batch_id"), "original_set", "batch_version"))
+
+    @cached_property
+    def _annotation_batches(self) -> DataFrame:
+        return small(self.batches("annotation").select(F.col("batch_id").alias("annotation_batch_id"), "original_set", "batch_version"))
+
+    @cached_property
+    def _annotators(self) -> DataFrame:
+        return small(self.table("annotators").groupBy(F.col("id").alias("annotator_id")).agg(F.min("name").alias("annotator")))
+
+    @cached_property
+    def _category_names(self) -> DataFrame:
+        return small(self.table("categories").groupBy(F.col("id").alias("category_id")).agg(F.min("name").alias("category")))
+
     # facts
 
     def images(self, batch: int | None = None) -> DataFrame:
@@ -85,9 +103,8 @@ class Catalog:
         if batch is not None:
             own = own.where(F.col("image_batch_id") == batch)
         own = own.select(F.col("id").alias("image_id"), "image_batch_id", "file_name", "width", "height", "blake3_hash", "date_captured", "license_id")
-        at = self.batches("image").select(F.col("batch_id").alias("image_batch_id"), "original_set", "batch_version")
         people = self.table("image_subjects").groupBy("image_id").agg(F.min("subject_id").alias("subject_id"))
-        return own.join(small(at), "image_batch_id").join(people, "image_id", "left").select(*IMAGE)
+        return own.join(self._image_batches, "image_batch_id").join(people, "image_id", "left").select(*IMAGE)
 
     def annotations(self, kind: str, batch: int | None = None) -> DataFrame:
         """Annotations with annotator, category and batch; rows delivered twice count once."""
@@ -96,10 +113,7 @@ class Catalog:
             own = own.where(F.col("annotation_batch_id") == batch)
         extra = ["bbox", "segmentation", "iscrowd"] if kind == "det" else []
         own = own.withColumnRenamed("id", "ann_id").dropDuplicates(["ann_id"])
-        names = self.table("annotators").groupBy(F.col("id").alias("annotator_id")).agg(F.min("name").alias("annotator"))
-        at = self.batches("annotation").select(F.col("batch_id").alias("annotation_batch_id"), "original_set", "batch_version")
-        cats = self.table("categories").groupBy(F.col("id").alias("category_id")).agg(F.min("name").alias("category"))
-        joined = own.join(small(names), "annotator_id", "left").join(small(at), "annotation_batch_id").join(small(cats), "category_id", "left")
+        joined = own.join(self._annotators, "annotator_id", "left").join(self._annotation_batches, "annotation_batch_id").join(self._category_names, "category_id", "left")
         return joined.withColumn("source", F.concat_ws("@", "original_set", "batch_version")).select(*ANNOTATION, *extra)
 
     def covering(self, kind: str, images: DataFrame) -> DataFrame:
