@@ -119,8 +119,34 @@ def _field(name: str, condition: str, first: str = "") -> str:
   SELECT v.*, g.group_image_id, row_number() OVER (PARTITION BY digest ORDER BY {first}{_ORDER}) AS place FROM voters v JOIN sizes g USING (digest) WHERE {condition}) WHERE place = 1"""
 
 
+def _words(value: str) -> str:
+    """A value's bare words, in the dialect of the checking engine."""
+    full, half = lookalike._quoted(vocabulary.FULLWIDTH), lookalike._quoted(vocabulary.ASCII)
+    x = f"lower(translate({value}, {full}, {half}))"
+    x = f"translate(regexp_replace({x}, '[\\p{{M}}\\p{{Cf}}]+', '', 'g'), '{vocabulary.MARKED}', '{vocabulary.PLAIN}')"
+    x = f"regexp_replace({x}, '^\\s*\\(([^()]*)\\)\\s*$', '\\1')"
+    x = f"regexp_replace({x}, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', ' ', 'g')"
+    for _ in range(2):  # neighbouring qualifiers share a separator
+        x = f"regexp_replace({x}, '(^|[^a-z])(?:{vocabulary.QUALIFIERS})([^a-z]|$)', '\\1 \\2', 'g')"
+    return f"regexp_extract_all({x}, '[a-z]+')"
+
+
+_MEANT = f"""WITH w AS (SELECT name, {_words("name")} AS w FROM (SELECT DISTINCT name FROM categories WHERE name IS NOT NULL)),
+forms AS (SELECT name, array_to_string(w, '') AS form, 0 AS turned FROM w WHERE len(w) > 0 UNION ALL SELECT name, array_to_string(w[2:], '') || w[1], 1 FROM w WHERE len(w) > 1),
+entries AS (SELECT finding_id, array_to_string({_words("name")}, '') AS form, array_to_string({_words("abbrev")}, '') AS short FROM finding_reference),
+begun AS (SELECT substr(form, 1, n) AS form, min(finding_id) AS finding_id FROM (SELECT finding_id, form, unnest(range({vocabulary.LEAST}, length(form))) AS n FROM entries) GROUP BY 1 HAVING count(DISTINCT finding_id) = 1),
+every AS (
+  SELECT name, turned AS rank, 0 AS slips, 0 AS d, e.finding_id FROM forms f JOIN entries e ON f.form = e.form
+  UNION ALL SELECT name, 2, 0, 0, e.finding_id FROM forms f JOIN entries e ON f.form = e.short WHERE turned = 0
+  UNION ALL SELECT name, 3, 0, 0, b.finding_id FROM forms f JOIN begun b ON f.form = b.form WHERE turned = 0
+  UNION ALL SELECT name, 4, damerau_levenshtein(f.form, e.form), levenshtein(f.form, e.form) * 2 + turned, e.finding_id FROM forms f JOIN entries e ON length(e.form) >= 5 AND damerau_levenshtein(f.form, e.form) <= 2),
+meant AS (SELECT name, arg_min(finding_id, (rank, slips, d, finding_id)) AS finding_id FROM every GROUP BY name)
+SELECT c.id AS category_id, coalesce(min(m.finding_id), 0) AS finding_id FROM categories c LEFT JOIN meant m USING (name) WHERE c.id IS NOT NULL GROUP BY c.id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": _MEANT,
         "p3_agreement": f"""WITH who AS (SELECT id, regexp_replace(translate(lower(translate(name, '{_FULL}', '{_HALF}')), 'аеорсухіѕԁһԝԛјӏɡкνο', 'aeopcyxisdhwqjlgkvo'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM annotators),
 people AS (SELECT id, CASE WHEN k IS NULL OR k = '' THEN id ELSE min(id) OVER (PARTITION BY k) END AS person FROM who),
 claims AS (SELECT DISTINCT annotation_batch_id AS b, image_id AS i, category_id AS c, coalesce(person, annotator_id) AS p FROM cls_annotations l LEFT JOIN people ON people.id = l.annotator_id
