@@ -12,7 +12,8 @@ entry, other), and these to the pooled rates of all persons.
 
 Items are collapsed once into arrays and written to the shared folder; an
 iteration is one scan of them, adding up sparse expected counts per task. What
-reaches the driver is bounded by persons x positions^2, not by the labels.
+reaches the driver is bounded by the (person, true, given) triples that occur,
+not by the labels.
 Chance-corrected agreement (Krippendorff's alpha) is computed separately.
 """
 
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from ..functions.clean import person_key
 from ..functions.spread import cut, small
 
-POSITIONS = 32  # list positions from here on share a coordinate
 PSEUDO = 20.0  # weight of the pooled rates in a person's cell
 POOLED = 10.0  # weight of all persons' rates in a person's rates
 ROUNDS, TOLERANCE = 15, 1e-3
@@ -74,18 +74,18 @@ def items(labels: DataFrame, annotators: DataFrame, categories: DataFrame) -> Da
 
 @dataclass
 class Model:
-    """Expected counts: ``cells`` by (person, true, given), ``rates`` by (person, relation), ``prior`` by position."""
+    """Expected counts: ``cells`` by (person, true, given), ``rates`` by (person, relation), ``prior`` by position; positions are the lists' own."""
 
     cells: dict
     totals: dict
     rates: dict
     pooled: np.ndarray
-    prior: np.ndarray
+    prior: dict
 
     @classmethod
     def start(cls) -> Model:
         """Everybody mostly right: the first posterior is close to a vote."""
-        return cls({}, {}, {}, np.array([0.7, 0.1, 0.05, 0.15]), np.ones(POSITIONS + 1) / POSITIONS)
+        return cls({}, {}, {}, np.array([0.7, 0.1, 0.05, 0.15]), {})
 
     def chance(self, p: np.ndarray, t: np.ndarray, given: np.ndarray, listed: np.ndarray) -> np.ndarray:
         """P(given | true, person) for arrays of them."""
@@ -94,15 +94,18 @@ class Model:
         rates = np.stack([self.person(x) for x in people_]) if len(people_) else np.zeros((0, 4))
         share = np.where(rel == OTHER, 1.0 / np.maximum(1, listed - 3), 1.0)
         base = rates[at, rel] * share
-        tb, gb = np.minimum(t, POSITIONS), np.minimum(given, POSITIONS)
-        code = (at * (POSITIONS + 1) + tb) * (POSITIONS + 1) + gb
-        codes, where = np.unique(code, return_inverse=True)
-        side = POSITIONS + 1
+        side = int(max(t.max(initial=0), given.max(initial=0))) + 1
+        codes, where = np.unique((at.astype(np.int64) * side + t) * side + given, return_inverse=True)
         keys = [(int(people_[c // side // side]), int(c // side % side), int(c % side)) for c in codes]
         cell = np.array([self.cells.get(k, 0.0) for k in keys])
         total = np.array([self.totals.get(k[:2], 0.0) for k in keys])
         return (cell[where] + PSEUDO * base) / (total[where] + PSEUDO)
 
+    def common(self, t: np.ndarray) -> np.ndarray:
+        """P(true) for an array of positions, up to a factor."""
+        places, at = np.unique(t, return_inverse=True)
+        return np.array([1.0 + self.prior.get(int(x), 0.0) for x in places])[at]
+
     def person(self, p: int) -> np.ndarray:
         own = self.rates.get(int(p), np.zeros(4))
         return (own + POOLED * self.pooled) / (own.sum() + POOLED)
@@ -129,7 +132,7 @@ def _pairs(claim: pa.ListArray, listed: np.ndarray):
 
 def _posterior(model: Model, claim: pa.ListArray, listed: np.ndarray):
     ci, cc, ct, p, given, k, n = _pairs(claim, listed)
-    score = np.log(model.prior[np.minimum(ct, POSITIONS)] + 1e-9)
+    score = np.log(model.common(ct))
     np.add.at(score, k, np.log(np.maximum(model.chance(p, ct[k], given, n), 1e-12)))
     top = np.full(len(claim), -np.inf)
     np.maximum.at(top, ci, score)
@@ -157,9 +160,9 @@ def fit(shared: DataFrame, rounds: int = ROUNDS) -> Model:
             for batch in batches:
                 ci, _, ct, post, p, given, k, n = _posterior(model, _lists(batch, 1), np.asarray(batch.column(0)))
                 rel = relation(ct[k], given, n)
-                cells = pd.DataFrame({"kind": 0, "p": p, "a": np.minimum(ct[k], POSITIONS), "b": np.minimum(given, POSITIONS), "w": post[k]})
+                cells = pd.DataFrame({"kind": 0, "p": p, "a": ct[k], "b": given, "w": post[k]})
                 rates = pd.DataFrame({"kind": 1, "p": p, "a": rel, "b": 0, "w": post[k]})
-                prior = pd.DataFrame({"kind": 2, "p": 0, "a": np.minimum(ct, POSITIONS), "b": 0, "w": post})
+                prior = pd.DataFrame({"kind": 2, "p": 0, "a": ct, "b": 0, "w": post})
                 parts.append(pd.concat([cells, rates, prior]).groupby(["kind", "p", "a", "b"], as_index=False)["w"].sum())
                 if len(parts) > 20:
                     parts = [pd.concat(parts).groupby(["kind", "p", "a", "b"], as_index=False)["w"].sum()]
@@ -168,8 +171,7 @@ def fit(shared: DataFrame, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_pandas(out.astype({"kind": "int32", "p": "int64", "a": "int32", "b": "int32", "w": "float64"}), preserve_index=False)
 
         counts = several.mapInArrow(step, schema).groupBy("kind", "p", "a", "b").agg(F.sum("w").alias("w")).toPandas().sort_values(["kind", "p", "a", "b"])
-        cells, totals, rates = {}, {}, {}
-        prior = np.ones(POSITIONS + 1)
+        cells, totals, rates, prior = {}, {}, {}, {}
         pooled = np.ones(4)
         for kind, p, a, b, w in counts.itertuples(index=False):
             if kind == 0:
@@ -179,8 +181,8 @@ def fit(shared: DataFrame, rounds: int = ROUNDS) -> Model:
                 rates.setdefault(p, np.zeros(4))[a] += w
                 pooled[a] += w
             else:
-                prior[a] += w
-        new = Model(cells, totals, rates, pooled / pooled.sum(), prior / prior.sum())
+                prior[a] = w
+        new = Model(cells, totals, rates, pooled / pooled.sum(), prior)
         moved = max((float(np.abs(new.person(p) - model.person(p)).max()) for p in rates), default=0.0)
         model = new
         if moved < TOLERANCE:

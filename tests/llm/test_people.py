@@ -42,6 +42,22 @@ def test_consensus_beats_the_vote_where_people_slip_alike(frame):
     assert len(got) == len(truth) and right > vote and right / len(truth) > 0.9
 
 
+def test_consensus_of_late_list_positions(frame):
+    """Two who name the entry five places on outvote one who is right, beyond position 32 as before it."""
+    rng, labels, truth, n = random.Random(3), [], {}, 0
+    for i in range(400):
+        truth[i] = t = 33 + rng.randrange(20)
+        for p, right in ((0, True), (1, True), (2, True)) if i % 2 else ((0, True), (3, False), (4, False)):
+            labels.append((n := n + 1, 1, i, t if right else t + 5, 0.7, p))
+        if not i % 2:
+            labels += [(n := n + 1, 1, 1000 + i, t, 0.7, p) for p in (0, 1)] + [(n := n + 1, 1, 1000 + i, t + 5, 0.7, 3 + i // 2 % 2)]
+            truth[1000 + i] = t
+    got = {r["image_id"]: r["category_id"] for r in consensus.consensus(*tables(frame, labels, cats=60)).collect()}
+    assert sum(got[i] == t for i, t in truth.items()) > 0.95 * len(truth)
+    early = [(a, b, c, d - 30, e, f) for a, b, c, d, e, f in labels]
+    assert {r["image_id"]: r["category_id"] + 30 for r in consensus.consensus(*tables(frame, early, cats=60)).collect()} == got
+
+
 def test_reliability_ranks_people(frame):
     _, labels = planted(2)
     rate = {r["person_id"]: r["hit_rate"] for r in consensus.reliability(*tables(frame, labels)).collect()}
