@@ -14,14 +14,15 @@ consensus is emitted.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import captured, with_hex, with_subject
-from ..functions.spread import cut, small
+from ..functions.spread import cut, salted_join, small
 
 FIELDS = ("license_id", "date_captured", "subject_id")
 
@@ -72,52 +73,61 @@ def survivors(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust:
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\s+")
 
 
-def align(columns: list[dict[str, float]], tokens: list[str], weight: float) -> list[dict[str, float]]:
-    """The profile after adding a token sequence by global alignment. A column maps a
-    token ('' is a gap) to its votes; matching costs the share of other votes."""
+def align(columns: list[dict[str, float]], total: float, tokens: list[str], weight: float) -> None:
+    """Adds a token sequence to the profile by global alignment. A column maps a token
+    ('' is a gap) to its votes, of ``total`` in all; matching costs the share of other votes."""
     n, m = len(columns), len(tokens)
-    total = [sum(c.values()) or 1.0 for c in columns]
+    gap = [1 - c.get("", 0.0) / total for c in columns]
     cost = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
-        cost[i][0] = cost[i - 1][0] + 1 - columns[i - 1].get("", 0.0) / total[i - 1]
+        cost[i][0] = cost[i - 1][0] + gap[i - 1]
     for j in range(1, m + 1):
         cost[0][j] = j
         for i in range(1, n + 1):
-            c, t = columns[i - 1], total[i - 1]
-            cost[i][j] = min(cost[i - 1][j - 1] + 1 - c.get(tokens[j - 1], 0.0) / t, cost[i - 1][j] + 1 - c.get("", 0.0) / t, cost[i][j - 1] + 1)
-    out, i, j, before = [], n, m, total[0] if columns else 0.0
+            cost[i][j] = min(cost[i - 1][j - 1] + 1 - columns[i - 1].get(tokens[j - 1], 0.0) / total, cost[i - 1][j] + gap[i - 1], cost[i][j - 1] + 1)
+    i, j = n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + 1 - columns[i - 1].get(tokens[j - 1], 0.0) / total[i - 1]:
-            i, j, column = i - 1, j - 1, dict(columns[i - 1])
-            column[tokens[j]] = column.get(tokens[j], 0.0) + weight
-        elif i and cost[i][j] == cost[i - 1][j] + 1 - columns[i - 1].get("", 0.0) / total[i - 1]:
-            i, column = i - 1, dict(columns[i - 1])
-            column[""] = column.get("", 0.0) + weight
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + 1 - columns[i - 1].get(tokens[j - 1], 0.0) / total:
+            i, j = i - 1, j - 1
+            columns[i][tokens[j]] = columns[i].get(tokens[j], 0.0) + weight
+        elif i and cost[i][j] == cost[i - 1][j] + gap[i - 1]:
+            i -= 1
+            columns[i][""] = columns[i].get("", 0.0) + weight
         else:
-            j, column = j - 1, {"": before, tokens[j - 1]: weight}
-        out.append(column)
-    return out[::-1]
+            j -= 1
+            columns.insert(i, {"": total, tokens[j]: weight})
+
+
+def voted(votes: Iterable[tuple[str, float]]) -> list[str]:
+    """The weighted token consensus of values that come heaviest first, then smallest
+    first. They are read once; only the profile is held."""
+    columns: list[dict[str, float]] = []
+    total = 0.0
+    for value, weight in votes:
+        tokens = TOKEN.findall(value)
+        if columns:
+            align(columns, total, tokens, weight)
+            total += weight
+        else:
+            columns, total = [{t: weight} for t in tokens], weight
+    return [t for c in columns if (t := max(sorted(c), key=lambda x: c[x]))]
+
+
+def distance(a: list[str], b: list[str]) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def closest(values: list[str], weights: list[float]) -> int:
     """Index of the value closest to the weighted token consensus; ties go to the
     heavier, then to the smaller value."""
     order = sorted(range(len(values)), key=lambda i: (-weights[i], values[i]))
-    split = [TOKEN.findall(v) for v in values]
-    columns: list[dict[str, float]] = []
-    for i in order:
-        columns = align(columns, split[i], weights[i]) if columns else [{t: weights[i]} for t in split[i]]
-    consensus = [t for c in columns if (t := max(sorted(c), key=lambda x: c[x]))]
-
-    def distance(a: list[str], b: list[str]) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    return min(order, key=lambda i: distance(split[i], consensus))
+    consensus = voted((values[i], weights[i]) for i in order)
+    return min(order, key=lambda i: distance(TOKEN.findall(values[i]), consensus))
 
 
 def spellings(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust: DataFrame, lists: int = 64) -> DataFrame:
@@ -125,10 +135,10 @@ def spellings(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust:
     subject, the written form of the subject closest to the members' consensus.
 
     Votes are weighted by trust (1 / rank, 1 / 100 if unranked) and added up per
-    distinct spelling before anything is aligned. A group's spellings are
-    aligned ``lists`` at a time, the winners of the blocks again, so no task
-    holds an unbounded group; with up to ``lists`` distinct spellings that is
-    one alignment.
+    distinct spelling before anything is aligned. A group of up to ``lists``
+    distinct spellings is aligned as a list. A larger one is read as a sorted
+    stream into its profile, which is all that is held of it, and its spellings
+    are compared with the consensus where they are: the same result.
     """
     own = members(images, subjects, batches, trust).select("image_id", "digest", "trust_rank")
     named = with_subject(subjects.select("image_id", "subject_id"), "subject_id", "_key").where("_key is not null").drop("_key").distinct()
@@ -142,12 +152,27 @@ def spellings(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust:
             best = [closest(v, w) for v, w in zip(values, weights)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([v[b] for v, b in zip(values, best)], pa.string()), pa.array([sum(w) for w in weights], pa.float64())], ["group_image_id", "subject_id", "votes"])
 
-    while True:
-        sizes = level.groupBy("group_image_id").agg(F.count(F.lit(1)).alias("_n"))
-        most = sizes.agg(F.max("_n")).first()[0] or 0
-        block = F.pmod(F.xxhash64("subject_id"), F.when(F.col("_n") > lists, 2 * F.ceil(F.col("_n") / lists)).otherwise(1))
-        blocks = level.join(sizes, "group_image_id").groupBy("group_image_id", block.alias("_b")).agg(F.sort_array(F.collect_list(F.struct("subject_id", "votes"))).alias("s"))
-        level = blocks.select("group_image_id", F.col("s.subject_id").alias("v"), F.col("s.votes").alias("w")).mapInArrow(run, "group_image_id long, subject_id string, votes double")
-        if most <= lists:
-            return level
-        level = cut(level, "spellings")
+    def profile(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for batch in batches_ for r in zip(*(batch.column(i).to_pylist() for i in range(3))))
+        for group, own_ in groupby(stream, key=lambda r: r[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([voted(r[1:] for r in own_)], pa.list_(pa.string()))], ["group_image_id", "consensus"])
+
+    def compare(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            far = [distance(TOKEN.findall(v), c) for v, c in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(far, pa.int64())], ["group_image_id", "subject_id", "votes", "far"])
+
+    sizes = level.groupBy("group_image_id").agg(F.count(F.lit(1)).alias("n"))
+    few, many = sizes.where(F.col("n") <= lists), sizes.where(F.col("n") > lists)
+    lists_ = level.join(few, "group_image_id").groupBy("group_image_id").agg(F.sort_array(F.collect_list(F.struct("subject_id", "votes"))).alias("s"))
+    best = lists_.select("group_image_id", F.col("s.subject_id").alias("v"), F.col("s.votes").alias("w")).mapInArrow(run, "group_image_id long, subject_id string, votes double")
+    if not many.take(1):
+        return best
+    many = cut(many, "sizes")
+    large = level.join(small(many.select("group_image_id")), "group_image_id")
+    stream = large.select("group_image_id", "subject_id", "votes").repartition("group_image_id").sortWithinPartitions("group_image_id", F.col("votes").desc(), "subject_id")
+    agreed = cut(stream.mapInArrow(profile, "group_image_id long, consensus array<string>"), "agreed")
+    pairs = salted_join(agreed, large, ["group_image_id"], many, 10_000).select("group_image_id", "subject_id", "votes", "consensus")
+    far = pairs.mapInArrow(compare, "group_image_id long, subject_id string, votes double, far long")
+    least = far.groupBy("group_image_id").agg(F.min(F.struct("far", -F.col("votes"), "subject_id")).alias("b"), F.sum("votes").alias("votes"))
+    return best.union(least.select("group_image_id", "b.subject_id", "votes"))

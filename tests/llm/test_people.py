@@ -121,6 +121,19 @@ def test_spellings_in_blocks(frame, lists):
     assert [(g[0], g[1]) for g in got] == [(0, "ALB-00000012")] and got[0][2] == pytest.approx(12)
 
 
+@pytest.mark.parametrize("lists", [64, 3])
+def test_spellings_of_a_large_group_equal_one_alignment(frame, lists):
+    for seed in range(3):
+        rng = random.Random(seed)
+        names = sorted({rng.choice(["ALB", "alb", "Alb", "NVK"]) + rng.choice("-_/ ") + rng.choice(["", "x "]) + f"{rng.randrange(60):0{rng.randint(2, 6)}d}" + rng.choice(["", " ", "-a"]) for _ in range(250)})
+        ids = [(i, n) for i, n in enumerate(names)] + [(1000 + i, n) for i, n in enumerate(rng.choices(names, k=90))]
+        images = [(i, 1, "", 1, 1, "ab" * 32, None, None) for i, _ in ids]
+        votes = Counter(n for _, n in ids)
+        want = names[representative.closest(names, [float(votes[n]) for n in names])]
+        got = rows(representative.spellings(frame(images, IMAGES), frame(ids, "image_id long, subject_id string"), frame([("a", "image", "V1", 1, None)], BATCHES), frame([("a", 1)], "original_set_name string, trust_rank int"), lists=lists))
+        assert got == [(0, want, float(len(ids)))]
+
+
 def components(people, edges):
     parent = {}
 
