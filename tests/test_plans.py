@@ -214,3 +214,15 @@ def test_intake_takes_every_row_once(spark, tmp_path):
     for _ in range(2):
         follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("id")) == [(1,), (2,)]
+
+
+def test_intake_takes_late_rows_and_no_late_repeats(spark, tmp_path):
+    from tarnloom.streaming.intake import follow
+
+    for k, (day, ids) in enumerate([("2024-03-01", [1, 2]), ("2024-03-02", [2, 3]), ("2024-01-01", [4, 1]), ("2024-06-01", [1, 5]), ("2024-06-02", [3, 6])]):
+        made = spark.createDataFrame([(i, 1, 1, 1, 0.5, 1) for i in ids], SCHEMAS["cls_annotations"]).selectExpr("*", f"timestamp'{day} 00:00:00' AS delivered_at")
+        made.write.parquet(str(tmp_path / f"in/{k}"))
+        follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got.select("id")) == [(i,) for i in range(1, 7)]
+    assert [c for c in got.columns if c != "intake"] == [c.split()[0] for c in SCHEMAS["cls_annotations"].split(", ")] + ["delivered_at"]
