@@ -138,12 +138,14 @@ def image_batch(catalog: Catalog, batch: int, files: DataFrame, on_conflict: str
 def image_files(spark, path: str, suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg", ".dcm")) -> DataFrame:
     """(file_name, width, height, bits, content_sha256) of the image files under a path.
 
-    PNG and JPEG headers are read here; other files have null sizes. The content
+    PNG and JPEG headers are read here, a JPEG's wherever its size marker lies; other
+    files have null sizes. The content
     hash is SHA-256, which is a built-in; BLAKE3 hashes come from the delivery.
     """
     pattern = "(?i)(" + "|".join(re.escape(s) for s in suffixes) + ")$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(pattern))
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.substring("content", 1, 65536).alias("head"), F.sha2("content", 256).alias("content_sha256"))
+    head = F.when(F.substring("content", 1, 2) == F.unhex(F.lit("FFD8")), F.col("content")).otherwise(F.substring("content", 1, 64))
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), head.alias("head"), F.sha2("content", 256).alias("content_sha256"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -154,7 +156,7 @@ def image_files(spark, path: str, suffixes: tuple[str, ...] = (".png", ".jpg", "
 
 
 def header(head: bytes) -> tuple[int | None, int | None, int | None]:
-    """(width, height, bits per sample) of a PNG or JPEG by its first bytes."""
+    """(width, height, bits per sample) of a PNG or JPEG by its first bytes; of a JPEG, up to its size marker."""
     if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 25:
         return (*struct.unpack(">II", head[16:24]), head[24])
     if head[:2] == b"\xff\xd8":

@@ -200,6 +200,14 @@ def test_image_files_and_headers(spark, tmp_path):
     assert ingest.header(b"") == (None, None, None)
 
 
+def test_jpeg_sizes_behind_long_segments(spark, tmp_path):
+    segment = b"\xff\xe1\xff\xff" + bytes(65533)
+    size = b"\xff\xc0\x00\x11\x08" + (700).to_bytes(2, "big") + (900).to_bytes(2, "big") + bytes(10)
+    for n in (0, 1, 5):
+        (tmp_path / f"{n}.jpg").write_bytes(b"\xff\xd8" + segment * n + size)
+    assert sorted(tuple(r)[:4] for r in ingest.image_files(spark, str(tmp_path)).collect()) == [(f"{n}.jpg", 900, 700, 8) for n in (0, 1, 5)]
+
+
 def test_notes():
     text = meta.version_note({"name": "n|x", "version": "V1", "created_by": "a\nb", "created_at": "t", "counts": {"images": 3}}, [("s", "V1", 3)], [], [], "two\nlines")
     assert "n\\|x" in text and "> two\n> lines" in text and "(none)" not in text.split("## Sources")[0]
