@@ -463,6 +463,22 @@ def integrity_checks(c):
     return checks.source_checks(c).where("seq in (1, 3, 5, 7, 9, 10)").select("seq", "violations")
 
 
+@query("""SELECT 1 AS seq, count(*) AS violations FROM im WHERE NOT coalesce(width > 0 AND height > 0, false)
+UNION ALL SELECT 2, count(*) FROM im WHERE blake3_hash IS NOT NULL AND NOT regexp_full_match(blake3_hash, '[0-9a-f]{64}')
+UNION ALL SELECT 3, count(*) FROM (SELECT 1 FROM im GROUP BY image_batch_id, file_name HAVING count(*) > 1)
+UNION ALL SELECT 4, count(*) FROM images i WHERE NOT EXISTS (SELECT 1 FROM batches b WHERE b.batch_kind = 'image' AND b.batch_id = i.image_batch_id)
+UNION ALL SELECT 5, count(*) FROM cls_annotations WHERE image_id NOT IN (SELECT id FROM images)
+UNION ALL SELECT 6, count(*) FROM cls_annotations l WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.id = l.category_id AND c.annotation_batch_id = l.annotation_batch_id)
+UNION ALL SELECT 7, count(*) FROM (SELECT 1 FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id HAVING count(DISTINCT id) > 1)
+UNION ALL SELECT 8, 0
+UNION ALL SELECT 9, count(*) FROM categories WHERE id NOT IN (SELECT category_id FROM cls_annotations)
+UNION ALL SELECT 10, count(*) FROM (SELECT 1 FROM categories GROUP BY annotation_batch_id, name HAVING count(*) > 1)
+UNION ALL SELECT 11, 0
+UNION ALL SELECT 12, count(*) FROM image_lineage a JOIN image_lineage b ON a.parent_image_id = b.child_image_id AND a.child_image_id = b.parent_image_id""")
+def integrity_checks_all(c):
+    return checks.source_checks(c).select("seq", "violations")
+
+
 # a whole specification
 
 PIPELINE = Spec.parse(

@@ -31,6 +31,20 @@ def test_query_equals_sql(spark, con, name):
     assert got == want
 
 
+def test_every_integrity_check_comes_out(spark, monkeypatch):
+    from tarnloom.plans import checks
+    from tests.world import world
+
+    own = world(spark)
+    own.tables["images"] = own.tables["images"].selectExpr("id", "if(id = 7, 99, image_batch_id) AS image_batch_id", "file_name", "height", "width", "blake3_hash", "license_id", "date_captured")
+    own.tables["cls_annotations"] = own.tables["cls_annotations"].selectExpr("id", "annotation_batch_id", "image_id", "if(id = 1, 5, category_id) AS category_id", "score", "annotator_id")
+    own.tables["image_lineage"] = own.tables["image_lineage"].union(spark.createDataFrame([(6, 1)], "a long, b long"))
+    monkeypatch.setattr(samples, "catalog", lambda *_: own)
+    got = dict(map(tuple, samples.QUERIES["integrity_checks_all"](spark, "").collect()))
+    assert sorted(got) == list(range(1, 13)) and got == {r["seq"]: r["violations"] for r in checks.source_checks(own).collect()}
+    assert got[4] == 1 and got[6] == 1 and got[12] > 0
+
+
 def test_salted_join_and_ranks_lose_nothing(spark):
     left = spark.range(5).withColumnRenamed("id", "k")
     right = spark.range(100).selectExpr("if(id < 60, 1, id % 5) AS k", "id AS v")
