@@ -6,7 +6,9 @@ then everything but letters. A value means the entry whose name or
 abbreviation it is; failing that the only entry of which it is a beginning of
 at least LEAST letters (a cut-off name); failing that the closest entry within
 two slips of the pen, where a slip is one letter more, less, other or two
-neighbours swapped. Values with the first word put behind count as well.
+neighbours swapped. Values with the first word put behind count as well. Slips
+are looked for in names of five letters or more; shorter names, of which two
+slips leave little, and abbreviations count only as they are.
 
 Slips are found by a pigeonhole join: two slips are a Levenshtein distance of
 at most four, so of five segments of a reference string one is in the value
