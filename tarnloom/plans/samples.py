@@ -510,3 +510,19 @@ def build_pipeline(c):
     return run(c, PIPELINE).final.mapped("cls").select("ann_id", "image_id", "target")
 
 
+# the same over every image batch
+SETS = ["norvik_cxr", "alderbay", "tessen_lung", "quillon_tb", "marrowgate", "pellworth", "sunhollow", "kestrel_reads", "vantor_kids", "ibex_portable", "lumen_er", "bramblecot"]
+_EVERY = [{"id": f"{s}_{v}", "op": "source", "original_set": s, "image_batch": v} for s in SETS for v in ("V1", "V2", "V3", "V4")]
+PIPELINE_ALL = Spec.parse({"steps": [*_EVERY, {"id": "pool", "op": "union", "inputs": [x["id"] for x in _EVERY]}, *[s.plain() for s in PIPELINE.steps if s.id not in ("images", "more", "pool")]], "final": "settled"})
+
+
+@query(f"""WITH pool AS (SELECT * FROM im WHERE image_id IN (SELECT image_id FROM an)),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY blake3_hash ORDER BY CASE original_set WHEN 'alderbay' THEN 0 ELSE 1 END, image_id) AS n FROM pool) WHERE n = 1 OR blake3_hash IS NULL),
+part AS (SELECT * FROM once WHERE ('0x' || substr(sha256('pipeline' || chr(0) || (CASE WHEN subject_id <> '' THEN subject_id ELSE '__image__' || image_id END)), 1, 16))::UBIGINT % 4 IN (0, 1, 2)),
+l AS (SELECT * FROM an WHERE image_id IN (SELECT image_id FROM part)),
+bt AS (SELECT image_id, annotation_batch_id, max(coalesce(score, 0)) AS top FROM l GROUP BY ALL),
+won AS (SELECT image_id, max(annotation_batch_id) AS winner FROM (SELECT *, max(top) OVER (PARTITION BY image_id) AS best, count(*) OVER (PARTITION BY image_id) AS k FROM bt) WHERE k > 1 AND top = best GROUP BY image_id HAVING count(*) = 1),
+kept AS (SELECT l.* FROM l LEFT JOIN won USING (image_id) WHERE winner IS NULL OR winner = l.annotation_batch_id)
+SELECT ann_id, image_id, category AS target FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category ORDER BY coalesce(score, 0) DESC, ann_id) AS n FROM kept) WHERE n = 1""")
+def build_pipeline_all(c):
+    return run(c, PIPELINE_ALL).final.mapped("cls").select("ann_id", "image_id", "target")

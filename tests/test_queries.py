@@ -45,6 +45,11 @@ def test_every_integrity_check_comes_out(spark, monkeypatch):
     assert got[4] == 1 and got[6] == 1 and got[12] > 0
 
 
+def test_the_whole_pipeline_reads_every_image_batch(con):
+    read = {(s["original_set"], s["image_batch"]) for s in samples.PIPELINE_ALL.steps if s.op == "source"}
+    assert read == set(con.execute("SELECT DISTINCT original_set_name, version FROM batches WHERE batch_kind = 'image'").fetchall())
+
+
 def test_salted_join_and_ranks_lose_nothing(spark):
     left = spark.range(5).withColumnRenamed("id", "k")
     right = spark.range(100).selectExpr("if(id < 60, 1, id % 5) AS k", "id AS v")
