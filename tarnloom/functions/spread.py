@@ -2,7 +2,7 @@
 
 ``shared_dir``/``cut``: durable lineage cuts in the folder all executors share.
 ``small``: a broadcast that proves its size first. ``salted_join``: an equi-join
-whose hot keys are cut into blocks. ``ranked``: a row number within a key that
+whose hot keys are cut into blocks on both sides. ``ranked``: a row number within a key that
 never puts one key's rows into one task.
 """
 
@@ -57,24 +57,56 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """``df``, of narrow rows, marked for broadcast if a count proves that it has at
-    most ``limit`` of them, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def release() -> None:
+    """Removes every table that ``cut`` wrote so far; for long sessions, between jobs, once
+    the frames made from them have been read."""
+    for path in list(_made):
+        _clean(path)
+
+
+def small(df: DataFrame, limit: int = 200_000, most: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if one count proves that it has at most ``limit`` rows
+    and ``most`` bytes (texts and arrays measured, other values 16 each), else as it is
+    (the join then shuffles)."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    sizes = [wide[kind](name) if kind in wide else F.size(name) * 32 for name, kind in df.dtypes if kind in wide or kind.startswith("array")]
+    width = reduce(lambda x, y: x + F.coalesce(y, F.lit(0)), sizes, F.lit(16 * len(df.columns)))
+    rows, width = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= limit and (width or 0) <= most else df
+
+
+def listed(spark: SparkSession, rows: list, schema: str, limit: int = 200_000) -> DataFrame:
+    """Rows that the driver holds already, marked for broadcast if they are few."""
+    frame = spark.createDataFrame(rows, schema)
+    return F.broadcast(frame) if len(rows) <= limit else frame
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, block: int) -> DataFrame:
-    """Inner equi-join on ``keys``; a key of ``hot`` (keys, ``n`` rows on the
-    right) is cut into blocks of about ``block`` right rows, and its left rows
-    go to every block. Other keys join as usual. No row is lost or repeated."""
-    parts = hot.where(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("_parts"))
+    """Inner equi-join on ``keys``; no row is lost or repeated.
+
+    ``hot`` gives, by key, ``n`` rows on the right and, where the left may have
+    many as well, ``m`` rows on the left. A key above ``block`` on either side is
+    cut into a grid: right rows into n / block parts, left rows into m / block,
+    and each part of one side meets every part of the other, so no task has more
+    than about ``block`` rows of a key from either side. Other keys join as usual.
+    """
+    parts_of = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    sides = ["n", "m"] if "m" in hot.columns else ["n"]
+    above = reduce(lambda x, y: x | y, [F.col(c) > block for c in sides])
+    parts = hot.where(above).select(*keys, parts_of("n").alias("_right"), parts_of("m").alias("_left") if "m" in sides else F.lit(1).alias("_left"))
     if not parts.take(1):
         return left.join(right, keys)
     mark = small(parts)
-    one = F.coalesce(F.col("_parts"), F.lit(1))
-    wide = left.join(mark, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns if c not in keys]), one).cast("int")
-    return wide.join(right.join(mark, keys, "left").withColumn("_salt", salt).drop("_parts"), [*keys, "_salt"]).drop("_salt")
+
+    def cells(side: DataFrame, own: str, other: str) -> DataFrame:
+        known = [F.col(c) for c in side.columns if c not in keys]
+        marked = side.join(mark, keys, "left").withColumns({"_left": F.coalesce("_left", F.lit(1)), "_right": F.coalesce("_right", F.lit(1))})
+        place = F.pmod(F.xxhash64(*known), F.col(own)).cast("int") if known else F.lit(0)
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return marked.withColumn(f"_at{own}", place).withColumn(f"_at{other}", every).drop("_left", "_right")
+
+    at = ["_at_left", "_at_right"]
+    return cells(left, "_left", "_right").join(cells(right, "_right", "_left"), [*keys, *at]).drop(*at)
 
 
 def ranked(df: DataFrame, key: str, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:

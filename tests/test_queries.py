@@ -57,6 +57,11 @@ def test_salted_join_and_ranks_lose_nothing(spark):
     for block in (7, 1000):
         got = sorted(map(tuple, salted_join(left, right, ["k"], hot, block).collect()))
         assert got == sorted(map(tuple, left.join(right, "k").collect()))
+    # hot on both sides
+    many = right.selectExpr("k", "v AS w")
+    both = right.groupBy("k").count().selectExpr("k", "count AS n", "count AS m")
+    want = sorted(map(tuple, many.join(right, "k").collect()))
+    assert sorted(map(tuple, salted_join(many, right, ["k"], both, 9).collect())) == want
     place = {}
     for r in ranked(right, "k", ["v"], "place").orderBy("k", "v").collect():
         assert r["place"] == place.get(r["k"], 0)
