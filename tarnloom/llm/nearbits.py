@@ -9,8 +9,10 @@ choice is complete.
 
 A chunk travels by the upper bits of its segment value (its route). Flips among
 the upper bits are probed by copies of the row, flips among the lower bits inside
-the partition that receives the route, in sorted arrays. Distinct signatures
-are nearly uniform, so routes are even; copies of one signature are one row.
+the partition that receives the route, in sorted arrays. Copies of one signature
+are one row; the route's bits grow with the rows. Pictures with like borders share
+segments, so routes are counted first: one with more than a partition's rows is
+cut into parts by the whole signature, and its probes go to each part.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import hex_long, with_hex
+from ..functions.spread import small
 
 BITS = 128
 ROWS_PER_PARTITION = 1_000_000
-SEGMENT, SIDE, USED = 44, 60, 40  # bit places in a chunk: segment number, stored side, flips used on the route
+SIDE, USED, SEGMENT, PART = 38, 40, 44, 52  # bit places in a chunk: stored side, flips used on the route, segment number, part of a crowded route
+MOST_PARTS = 2048
+ROUTE = (1 << SIDE) - 1 | 0xFF << SEGMENT
+PAIRS = 4_000_000  # candidate pairs compared at a time
 
 
 def with_signature(df: DataFrame, source: str = "signature") -> DataFrame:
@@ -62,8 +68,9 @@ def plan(radius: int, indexed: int, probing: int) -> int:
 
 
 def route_bits(m: int, partitions: int) -> int:
-    """Upper bits that make a route: at least 16 routes for each partition."""
-    return min(8, max(4, ceil(log2(16 * partitions / m))))
+    """Upper bits that make a route: at least 16 routes for each partition, as far as the
+    narrowest segment goes."""
+    return min(BITS // m - 2, max(4, ceil(log2(16 * partitions / m))))
 
 
 def _cut(hi: Column, lo: Column, at: int, width: int) -> Column:
@@ -116,15 +123,16 @@ def _meet(chunk: np.ndarray, hi: np.ndarray, lo: np.ndarray, m: int, radius: int
     segment = (chunk >> np.int64(SEGMENT)) & 0xFF
     used = (chunk >> np.int64(USED)) & 0xF
     upper = chunk & np.int64((1 << bits) - 1)
+    part = ((chunk >> np.int64(PART)) & (MOST_PARTS - 1)).astype(np.uint64) << np.uint64(PART)
     for i, (at, width, r) in enumerate(segments(m, radius)):
         s, p = np.nonzero(stored & (segment == i))[0], np.nonzero(~stored & (segment == i))[0]
         if r < 0 or not len(s) or not len(p):
             continue
         low = width - bits
-        values = _values(hi[s], lo[s], at, width)
+        values = _values(hi[s], lo[s], at, width) | part[s]
         order = np.argsort(values, kind="stable")
         s, values = s[order], values[order]
-        own = (_values(hi[p], lo[p], at, width) & np.uint64((1 << low) - 1)) | (upper[p].astype(np.uint64) << np.uint64(low))
+        own = (_values(hi[p], lo[p], at, width) & np.uint64((1 << low) - 1)) | (upper[p].astype(np.uint64) << np.uint64(low)) | part[p]
         for k in range(min(r, low) + 1):
             able = used[p] <= r - k
             q, start = p[able], own[able]
@@ -135,22 +143,51 @@ def _meet(chunk: np.ndarray, hi: np.ndarray, lo: np.ndarray, m: int, radius: int
                 if not len(hit):
                     continue
                 n = np.searchsorted(values, want[hit], "right") - left[hit]
-                a = np.repeat(q[hit], n)
-                b = s[np.repeat(left[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                high, low_ = hi[a] ^ hi[b], lo[a] ^ lo[b]
-                gap = np.bitwise_count(high) + np.bitwise_count(low_)
-                near = gap <= radius
-                # a pair that meets in several segments is given in the first of them
-                for at_, width_, r_ in segments(m, radius)[:i]:
-                    near &= np.bitwise_count(_values(high, low_, at_, width_)) > max(r_, -1)
-                if near.any():
-                    yield hi[a[near]], lo[a[near]], hi[b[near]], lo[b[near]], BITS - gap[near].astype(np.int32)
+                for some in np.split(np.arange(len(hit)), np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum(), PAIRS))):
+                    own_n = n[some]
+                    a = np.repeat(q[hit[some]], own_n)
+                    b = s[np.repeat(left[hit[some]] - np.cumsum(own_n) + own_n, own_n) + np.arange(own_n.sum())]
+                    high, low_ = hi[a] ^ hi[b], lo[a] ^ lo[b]
+                    gap = np.bitwise_count(high) + np.bitwise_count(low_)
+                    near = gap <= radius
+                    # a pair that meets in several segments is given in the first of them
+                    for at_, width_, r_ in segments(m, radius)[:i]:
+                        near &= np.bitwise_count(_values(high, low_, at_, width_)) > max(r_, -1)
+                    if near.any():
+                        yield hi[a[near]], lo[a[near]], hi[b[near]], lo[b[near]], BITS - gap[near].astype(np.int32)
+
+
+def crowded(indexed: DataFrame, m: int, radius: int, bits: int, most: int) -> DataFrame:
+    """(route, parts): routes that more than ``most`` stored rows have, and into how many parts they are cut."""
+    own = [(i, at) for i, (at, _, r) in enumerate(segments(m, radius)) if r >= 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(own), 1 << bits), np.int64)
+        for batch in batches:
+            hi, lo = (np.asarray(batch.column(k)).view(np.uint64) for k in (0, 1))
+            for k, (_, at) in enumerate(own):
+                total[k] += np.bincount(_values(hi, lo, at, bits).astype(np.int64), minlength=1 << bits)
+        k, upper = np.nonzero(total)
+        number = np.array([i for i, _ in own], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((number[k] << SEGMENT) | upper), pa.array(total[k, upper])], ["route", "n"])
+
+    loads = indexed.select("hi", "lo").mapInArrow(run, "route long, n long").groupBy("route").agg(F.sum("n").alias("n"))
+    return loads.where(F.col("n") > most).select("route", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / most)).cast("int").alias("parts"))
+
+
+def parted(stored: DataFrame, probing: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored and probe rows with the part of a crowded route in their chunk; probes go to every part."""
+    mark = small(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    route = F.col("chunk").bitwiseAND(F.lit(ROUTE))
+    put = lambda df, part: df.join(mark, route == F.col("route"), "left").withColumn("_part", part).select(F.col("chunk").bitwiseOR(F.expr(f"shiftleft(CAST(_part AS BIGINT), {PART})")).alias("chunk"), "hi", "lo")
+    return put(stored, F.pmod(F.xxhash64("hi", "lo"), parts).cast("int")), put(probing, F.explode(F.sequence(F.lit(0), parts - 1)))
 
 
 def meet(probing: DataFrame, stored: DataFrame, m: int, radius: int, bits: int, partitions: int) -> DataFrame:
     """(p_hi, p_lo, i_hi, i_lo, shared): pairs of probe rows and chunk-table rows that share
     at least 128 - radius bits, each pair once."""
-    route = F.col("chunk").bitwiseAND(F.lit((1 << USED) - 1 | 0xFF << SEGMENT))
+    route = F.col("chunk").bitwiseAND(F.lit(ROUTE | (MOST_PARTS - 1) << PART))
     names = ["p_hi", "p_lo", "i_hi", "i_lo", "shared"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +204,17 @@ def meet(probing: DataFrame, stored: DataFrame, m: int, radius: int, bits: int,
     return rows.mapInArrow(run, "p_hi long, p_lo long, i_hi long, i_lo long, shared int")
 
 
-def near(probing: DataFrame, indexed: DataFrame, radius: int) -> DataFrame:
-    """(p_hi, p_lo, i_hi, i_lo, shared) for two tables of distinct (hi, lo)."""
+def near(probing: DataFrame, indexed: DataFrame, radius: int, most: int = ROWS_PER_PARTITION) -> DataFrame:
+    """(p_hi, p_lo, i_hi, i_lo, shared) for two tables of (hi, lo); a pair comes as often as
+    its rows do."""
     n, q = indexed.count(), probing.count()
     m = plan(radius, n, q)
     least = int(probing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = route_bits(m, least)
+    bits = route_bits(m, max(least, ceil(n * m / most)))
     copies = sum(sum(comb(bits, k) for k in range(r + 1)) for _, _, r in segments(m, radius) if r >= 0)
-    partitions = max(least, ceil((n * m + q * copies) / ROWS_PER_PARTITION))
-    return meet(probes(probing, m, radius, bits), chunk_table(indexed, m, radius, bits), m, radius, bits, partitions)
+    partitions = max(least, ceil((n * m + q * copies) / most))
+    stored, probe = chunk_table(indexed, m, radius, bits), probes(probing, m, radius, bits)
+    hot = crowded(indexed, m, radius, bits, most)
+    if hot.take(1):
+        stored, probe = parted(stored, probe, hot)
+    return meet(probe, stored, m, radius, bits, partitions)

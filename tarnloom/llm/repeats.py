@@ -1,35 +1,39 @@
 """Deduplicating new batches against all history.
 
 A record is a 32-byte content digest and a 128-bit picture signature. Records
-are cut into chunks, a chunk-to-record table is kept on disk, and an arriving
-batch is joined with that table only: shared bytes (or bits) are totalled per
-pair of records and the share of the record that is covered decides.
+are cut into chunks and kept in a persistent chunk-to-record table
+(``ChunkStore``); an arriving batch is appended to it and joined with it, shared
+bytes (or bits) are totalled per pair of records, and the share of the record
+that is covered decides. History is written once and never built again.
 
 * Digests are cut by content: a polynomial rolling hash over ``WINDOW`` bytes
-  ends a chunk wherever its value is divisible by ``DIVISOR``. A pair is the
-  same when the shared chunks cover all 32 bytes.
+  ends a chunk wherever its value is divisible by ``DIVISOR``. Records are the
+  same when the shared chunks cover all 32 bytes; their digests are compared
+  afterwards.
 * Signatures are cut at fixed places (see ``nearbits``): flipped bits never move
   a boundary, and ten scattered flips leave no rolling window whole, so content
   boundaries would miss pairs. A pair is near-same when at least
   128 - ``radius`` bits are shared.
 
-Equal records are one class, so a picture that fills a third of the history is
-one row of the chunk table; classes are expanded to record pairs at the end,
-with hot classes cut into blocks.
+Equal records of one delivery are one class, so a picture that fills a third of
+the history is one row of the chunk table; classes are expanded to record pairs
+at the end, with hot classes cut into blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import with_hex
-from ..functions.spread import cut, salted_join, small
+from ..functions.spread import cut, salted_join, scratch, small
 from . import nearbits
 
 RADIUS = 10
@@ -63,8 +67,8 @@ def chunk_bounds(data: np.ndarray) -> list[np.ndarray]:
 
 
 def content_chunks(classes: DataFrame) -> DataFrame:
-    """(chunk, bytes, record, digest): the content-defined chunks of rows (digest, record,
-    probing); the digest itself goes along for probing rows only.
+    """(delivery, chunk, bytes, record, many, digest): the content-defined chunks of rows
+    (delivery, digest, record, many); a record's first chunk carries its digest.
 
     A chunk is a 64-bit hash of its bytes, its length and its offset (digests
     have a fixed layout); the bytes are hashed as a polynomial over the ring of
@@ -73,14 +77,12 @@ def content_chunks(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, DIGEST_BYTES)
-            record = np.asarray(batch.column(1))
-            digest = pc.if_else(batch.column(2), batch.column(0), pa.scalar(None, batch.column(0).type))
+            data = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, DIGEST_BYTES)
             # prefix values make any chunk's polynomial a difference
             power = np.cumprod(np.full(DIGEST_BYTES + 1, 1099511628211, np.uint64))
             prefix = np.concatenate([np.zeros((len(data), 1), np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:DIGEST_BYTES], axis=1, dtype=np.uint64)], axis=1)
             bounds, row = chunk_bounds(data), np.arange(len(data))
-            for start, end in zip(bounds, bounds[1:]):
+            for k, (start, end) in enumerate(zip(bounds, bounds[1:])):
                 some = np.nonzero(start < DIGEST_BYTES)[0]
                 if not len(some):
                     break
@@ -88,10 +90,14 @@ def content_chunks(classes: DataFrame) -> DataFrame:
                 x ^= (start[some].astype(np.uint64) << np.uint64(8)) + end[some].astype(np.uint64)
                 x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
                 x ^= x >> np.uint64(29)
-                arrays = [pa.array(x.view(np.int64)), pa.array((end[some] - start[some]).astype(np.int32)), pa.array(record[some]), digest.take(pa.array(some))]
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "bytes", "record", "digest"])
+                at = pa.array(some)
+                delivery, digest, record, many = (c.take(at) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays(
+                    [delivery, pa.array(x.view(np.int64)), pa.array((end[some] - start[some]).astype(np.int32)), record, many, digest if k == 0 else pa.nulls(len(some), pa.binary())],
+                    ["delivery", "chunk", "bytes", "record", "many", "digest"],
+                )
 
-    return classes.select("digest", "record", "probing").mapInArrow(run, "chunk long, bytes int, record long, digest binary")
+    return classes.select("delivery", "digest", "record", "many").mapInArrow(run, "delivery string, chunk long, bytes int, record long, many boolean, digest binary")
 
 
 def arrivals(images: DataFrame, new_batches: DataFrame, *columns: str) -> DataFrame:
@@ -104,51 +110,136 @@ def arrivals(images: DataFrame, new_batches: DataFrame, *columns: str) -> DataFr
     return own.join(small(number), "image_batch_id", "left").select("image_id", F.coalesce("image_batch_id", F.lit(-1)).alias("batch"), F.coalesce("_no", F.lit(0)).alias("seq"), *columns)
 
 
-def _classes(rows: DataFrame, *key: str) -> DataFrame:
-    """Distinct values of the key: ``record`` (the smallest image id), ``n`` members, and
-    whether the class is ``probing``: some member arrived, and not all are of one batch."""
-    facts = rows.groupBy(*key).agg(F.min("image_id").alias("record"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("_last"), F.min("batch").alias("_from"), F.max("batch").alias("_to"))
-    return facts.select(*key, "record", "n", (F.col("_last") > 0).alias("fresh"), ((F.col("_last") > 0) & (F.col("_from") != F.col("_to"))).alias("probing"))
+TABLES = {
+    "content": "chunk long, bytes int, record long, many boolean, digest binary",
+    "members": "digest binary, image_id long, batch long, seq int",
+    "marks": "hi long, lo long, many boolean",
+    "signatures": "hi long, lo long, image_id long, batch long, seq int",
+}
+BUCKET_ROWS = 250_000
 
 
 class ChunkStore:
-    """The persistent chunk-to-record tables under ``path``.
-
-    ``append`` adds the chunks of an accepted batch, ``same``/``near`` join a
-    batch with the tables; the history itself is never read again. The number of
-    segments and the route bits belong to the tables and stay as they are.
+    """The persistent chunk-to-record tables under ``path``, on any Hadoop file system.
+
+    ``append`` adds deliveries, each once; ``pairs`` joins deliveries with all that
+    is stored. What a delivery wrote is never read as a whole again: the content
+    and member tables lie in buckets by chunk, digest and signature, as many for a
+    delivery as its rows need (``bucket_rows`` each), and a probe reads the buckets
+    it hits, so what a small arrival reads does not grow with the history. Near
+    signatures need all distinct stored signatures, 16 bytes each: every route is
+    within reach of any arrival of some thousand records, so an index by route
+    would be read as a whole, at several times the bytes.
+
+    A delivery counts from the moment its marker is created, after its rows; files
+    of an append that failed are removed by the next one, and a delivery that is
+    stored already is left as it is.
     """
 
-    def __init__(self, spark: SparkSession, path: str, m: int = 6, radius: int = RADIUS, bits: int = 6):
-        self.spark, self.path, self.m, self.radius, self.bits = spark, path.rstrip("/"), m, radius, bits
-
-    def append(self, digests: DataFrame, marks: DataFrame) -> None:
-        """digests: (digest, record); marks: (hi, lo, record); each row one distinct value."""
-        content_chunks(digests.withColumn("probing", F.lit(False))).write.mode("append").parquet(f"{self.path}/content")
-        marks.select("hi", "lo", "record").write.mode("append").parquet(f"{self.path}/signatures")
-        nearbits.chunk_table(marks, self.m, self.radius, self.bits).write.mode("append").parquet(f"{self.path}/segments")
-
-    def same(self, digests: DataFrame) -> DataFrame:
-        """(record_new, record_old) whose shared chunks cover the whole digest."""
-        return covered(content_chunks(digests.withColumn("probing", F.lit(True))), self.spark.read.parquet(f"{self.path}/content"))
-
-    def near(self, marks: DataFrame) -> DataFrame:
-        """(record_new, record_old) that share at least 128 - radius signature bits."""
-        stored = self.spark.read.parquet(f"{self.path}/segments").select("chunk", "hi", "lo").distinct()
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        distinct = marks.select("hi", "lo").distinct()
-        pairs = nearbits.meet(nearbits.probes(distinct, self.m, self.radius, self.bits), stored, self.m, self.radius, self.bits, parts)
-        old = self.spark.read.parquet(f"{self.path}/signatures").select(F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), F.col("record").alias("record_old"))
-        new = marks.select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), F.col("record").alias("record_new"))
-        return pairs.join(new, ["p_hi", "p_lo"]).join(old, ["i_hi", "i_lo"]).select("record_new", "record_old").distinct()
-
-
-def covered(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs (record_new, record_old) for which the bytes of shared chunks reach DIGEST_BYTES."""
-    new = chunks.select("chunk", F.col("record").alias("record_new"))
-    old = stored.select("chunk", "bytes", F.col("record").alias("record_old"))
-    shared = new.join(old, "chunk").groupBy("record_new", "record_old").agg(F.sum("bytes").alias("bytes"))
-    return shared.where(F.col("bytes") >= DIGEST_BYTES).select("record_new", "record_old")
+    def __init__(self, spark: SparkSession, path: str, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.radius, self.bucket_rows = spark, path.rstrip("/"), radius, bucket_rows
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+
+    def deliveries(self) -> dict[str, int]:
+        """The stored deliveries and their numbers of buckets."""
+        there = self._at("stored")
+        names = [x.getPath().getName() for x in self.fs.listStatus(there)] if self.fs.exists(there) else []
+        return {key: int(buckets) for key, _, buckets in (n.rpartition("@") for n in names)}
+
+    def append(self, digests: DataFrame, marks: DataFrame, sizes: dict[str, int]) -> list[str]:
+        """Adds rows digests (delivery, image_id, batch, seq, digest) and marks (delivery,
+        image_id, batch, seq, hi, lo) of the deliveries in ``sizes`` (about how many rows
+        each has); gives the deliveries that were new."""
+        stored = self.deliveries()
+        buckets = {key: max(1, ceil(n / self.bucket_rows)) for key, n in sizes.items() if key not in stored}
+        if not buckets:
+            return []
+        if bad := [key for key in buckets if not key.replace("-", "").isalnum()]:
+            raise ValueError(f"not the name of a delivery: {bad[0]!r}")
+        for table in TABLES:
+            for key in buckets:
+                self.fs.delete(self._at(table, f"delivery={key}"), True)
+        of = F.create_map(*[F.lit(x) for pair in buckets.items() for x in pair])
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), sum(buckets.values()))
+
+        def write(table: str, rows: DataFrame, by: Column) -> DataFrame:
+            placed = rows.where(F.col("delivery").isin(*buckets)).withColumn("bucket", F.pmod(by, of[F.col("delivery")]).cast("int"))
+            placed.repartition(min(parts, 4000), "delivery", "bucket").write.mode("append").partitionBy("delivery", "bucket").parquet(f"{self.path}/{table}")
+            return self._read(table, list(buckets))
+
+        members = write("members", digests.select("delivery", "digest", "image_id", "batch", "seq"), F.xxhash64("digest"))
+        classes = members.groupBy("delivery", "digest").agg(F.min("image_id").alias("record"), (F.min("batch") != F.max("batch")).alias("many"))
+        write("content", content_chunks(classes), F.col("chunk"))
+        signed = write("signatures", marks.select("delivery", "hi", "lo", "image_id", "batch", "seq"), F.xxhash64("hi", "lo"))
+        write("marks", signed.groupBy("delivery", "hi", "lo").agg((F.min("batch") != F.max("batch")).alias("many")), F.xxhash64("hi", "lo"))
+        for key, n in buckets.items():
+            self.fs.create(self._at("stored", f"{key}@{n}"), False).close()
+        return list(buckets)
+
+    def _read(self, table: str, keys: list[str]) -> DataFrame:
+        schema = f"{TABLES[table]}, delivery string, bucket int"
+        there = [k for k in keys if self.fs.exists(self._at(table, f"delivery={k}"))]
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{table}/delivery={k}" for k in there])
+
+    def hit(self, table: str, probes: DataFrame, by: Column) -> DataFrame:
+        """The stored rows of the buckets that the probes' keys fall into."""
+        stored = self.deliveries()
+        counts = sorted(set(stored.values()))
+        found = probes.agg(*[F.collect_set(F.pmod(by, F.lit(n)).cast("int")) for n in counts]).first()  # bucket numbers
+        rows = self._read(table, list(stored))
+        conditions = []
+        for n, numbers in zip(counts, found):
+            own = F.col("delivery").isin(*[k for k, v in stored.items() if v == n])
+            conditions.append(own if len(numbers) == n else own & F.col("bucket").isin(*sorted(numbers)))
+        return rows.where(reduce(lambda a, b: a | b, conditions))
+
+    def same(self, keys: list[str]) -> DataFrame:
+        """(digest) of records of the deliveries whose bytes are covered by the chunks of a
+        record of another delivery, or that have members in several batches of their own."""
+        fresh = self._read("content", keys)
+        new = fresh.select("chunk", F.col("delivery").alias("delivery_new"), F.col("record").alias("record_new"), "many")
+        old = self.hit("content", fresh, F.col("chunk")).select("chunk", "bytes", F.col("delivery").alias("delivery_old"), F.col("record").alias("record_old"))
+        shared = new.join(old, "chunk").groupBy("delivery_new", "record_new", "delivery_old", "record_old").agg(F.sum("bytes").alias("bytes"), F.max("many").alias("many"))
+        own = (F.col("delivery_new") == F.col("delivery_old")) & (F.col("record_new") == F.col("record_old"))
+        covered = shared.where((F.col("bytes") >= DIGEST_BYTES) & (~own | F.col("many"))).select(F.col("delivery_new").alias("delivery"), F.col("record_new").alias("record")).distinct()
+        return fresh.where("digest is not null").join(covered, ["delivery", "record"]).select("digest").distinct()
+
+    def near(self, keys: list[str]) -> DataFrame:
+        """(p_hi, p_lo, i_hi, i_lo): signatures of the deliveries and stored ones that share at least
+        128 - radius bits; a signature with itself where several batches or deliveries have it."""
+        fresh = self._read("marks", keys)
+        pairs = ["p_hi", "p_lo", "i_hi", "i_lo"]
+        links = nearbits.near(fresh.select("hi", "lo"), self._read("marks", list(self.deliveries())).select("hi", "lo"), self.radius)
+        own = (F.col("p_hi") == F.col("i_hi")) & (F.col("p_lo") == F.col("i_lo"))
+        links = links.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n")).where(~own | (F.col("n") > 1)).select(*pairs)
+        spans = fresh.where("many").select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"))
+        return links.union(spans).distinct()
+
+    def pairs(self, keys: list[str], block: int = BLOCK) -> DataFrame:
+        """(image_id_a, image_id_b), a < b: images of the deliveries that arrived (seq above 0)
+        and the same or near-same stored ones of other batches that were there before or with them."""
+        arrived = F.col("delivery").isin(*keys) & (F.col("seq") > 0)
+        heads = cut(self.same(keys), "heads")
+        members = cut(self.hit("members", heads, F.xxhash64("digest")).join(small(heads), "digest"), "members")
+        hot = members.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.count_if(arrived).alias("m"))
+        copies = _pairs(members.where(arrived).drop("delivery", "bucket"), members, ["digest"], hot, block)
+        links = cut(self.near(keys), "links")
+        touched = cut(links.select(F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo")).union(links.select("i_hi", "i_lo")).distinct(), "touched")
+        signed = cut(self.hit("signatures", touched, F.xxhash64("hi", "lo")).join(small(touched), ["hi", "lo"]), "signed")
+        renamed = lambda df, side: df.withColumnsRenamed({"hi": f"{side}_hi", "lo": f"{side}_lo"})
+        sizes = signed.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.count_if(arrived).alias("m"))
+        degree = renamed(sizes, "i").join(links.join(renamed(sizes.select("hi", "lo", F.col("m").alias("_from")), "p"), ["p_hi", "p_lo"]).groupBy("i_hi", "i_lo").agg(F.sum("_from").alias("_m")), ["i_hi", "i_lo"]).select("i_hi", "i_lo", "n", F.col("_m").alias("m"))
+        x = renamed(signed.where(arrived).select("hi", "lo", "image_id", "batch", "seq"), "p")
+        left = salted_join(links, x, ["p_hi", "p_lo"], renamed(sizes.select("hi", "lo", F.col("m").alias("n")), "p"), block)
+        y = renamed(signed.select("hi", "lo", "image_id", "batch", "seq"), "i")
+        near = _pairs(left, y, ["i_hi", "i_lo"], degree, block)
+        return copies.union(near).distinct()
 
 
 def _pairs(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame, block: int) -> DataFrame:
@@ -162,42 +253,28 @@ def _pairs(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame, bl
     return found.select(F.least("image_id", "y").alias("image_id_a"), F.greatest("image_id", "y").alias("image_id_b"))
 
 
-def find_repeats(images: DataFrame, signatures: DataFrame, new_batches: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def find_repeats(images: DataFrame, signatures: DataFrame, new_batches: DataFrame, radius: int = RADIUS, block: int = BLOCK, store: ChunkStore | None = None) -> DataFrame:
     """(image_id_a, image_id_b), a < b: pairs of same or near-same images of
     different batches of which at least one arrived in ``new_batches``.
 
-    All arrivals are probed in one pass over the chunk tables: a record matches
-    only what has a smaller arrival number (or the same number, in another
-    batch), which is what checking and appending batch by batch gives. Missing
-    hashes and placeholders match nothing; an image with several signatures has
-    each of them. Empty inputs give no rows.
+    Each arrival is a delivery to the store, accepted batches are the delivery
+    ``history``; what the store has already is not read again and may be missing
+    from the tables. All arrivals are probed together: a record matches only what
+    has a smaller arrival number (or the same number, in another batch), which is
+    what checking and appending batch by batch gives. Missing hashes and
+    placeholders match nothing; an image with several signatures has each of them.
+    Empty inputs give no rows. Without ``store`` the tables go to a scratch folder.
     """
-    # same content: the chunk table, probed by the classes that an arrival and another batch share
-    base = with_hex(arrivals(images, new_batches, "blake3_hash"), "blake3_hash", 64, "_hex").where("_hex is not null")
-    base = base.select("image_id", "batch", "seq", F.unhex("_hex").alias("digest"))
-    digests = _classes(base, "digest")
-    table = cut(content_chunks(digests), "chunks")
-    probing = table.where("digest is not null")
-    same = covered(probing, table).where("record_new = record_old")
-    # full coverage is equality, so the two records of a pair are one class; its members carry its digest
-    heads = cut(probing.select("record", "digest").distinct().join(same.select(F.col("record_new").alias("record")), "record").select("digest"), "heads")
-    members = cut(base.join(small(heads), "digest"), "members")
-    hot = members.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    copies = _pairs(members.where("seq > 0"), members, ["digest"], hot, block)
-    # near-same content: distinct signatures of arrivals against all
+    spark = images.sparkSession
+    store = store or ChunkStore(spark, scratch(spark, "chunks"), radius)
+    delivery = F.when(F.col("seq") > 0, F.concat(F.lit("arrival-"), F.col("seq"))).otherwise("history")
+    every = arrivals(images, new_batches, "blake3_hash").withColumn("delivery", delivery)
+    sizes = {r[0]: r[1] for r in every.groupBy("delivery").count().collect()}  # a row for each arrival number
+    known = store.deliveries()
+    fresh = every.where(~F.col("delivery").isin(*known)) if known else every
+    digests = with_hex(fresh, "blake3_hash", 64, "_hex").where("_hex is not null").select("delivery", "image_id", "batch", "seq", F.unhex("_hex").alias("digest"))
     marks = nearbits.with_signature(signatures.select("image_id", "signature")).where("image_id is not null and hi is not null and lo is not null").select("image_id", "hi", "lo").distinct()
-    marked = cut(marks.join(arrivals(images, new_batches), "image_id"), "marked")
-    classes = cut(_classes(marked, "hi", "lo").select("hi", "lo", "n", "fresh", "probing"), "classes")
-    links = nearbits.near(classes.where("fresh").select("hi", "lo"), classes.select("hi", "lo"), radius)
-    # a class alone with itself is of use only if it spans batches
-    own = (F.col("p_hi") == F.col("i_hi")) & (F.col("p_lo") == F.col("i_lo"))
-    spans = small(classes.where("probing").select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), F.lit(True).alias("spans")))
-    links = cut(links.where(~own).select("p_hi", "p_lo", "i_hi", "i_lo").union(spans.select("p_hi", "p_lo", F.col("p_hi").alias("i_hi"), F.col("p_lo").alias("i_lo"))), "links")
-    touched = cut(links.select(F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo")).union(links.select("i_hi", "i_lo")).distinct(), "touched")
-    near_members = cut(marked.join(small(touched), ["hi", "lo"]), "near_members")
-    sizes = classes.where(F.col("n") > block)
-    x = near_members.where("seq > 0").select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), "image_id", "batch", "seq")
-    left = salted_join(links, x, ["p_hi", "p_lo"], sizes.select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), "n"), block)
-    y = near_members.select(F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), "image_id", "batch", "seq")
-    near = _pairs(left, y, ["i_hi", "i_lo"], sizes.select(F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), "n"), block)
-    return copies.union(near).distinct()
+    marks = marks.join(fresh.select("delivery", "image_id", "batch", "seq"), "image_id")
+    store.append(digests, marks, sizes)
+    keys = [k for k in sizes if k != "history"]
+    return store.pairs(keys, block) if keys else spark.createDataFrame([], "image_id_a long, image_id_b long")
