@@ -6,6 +6,8 @@ whole-stage code generation and can be pushed next to a scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ def with_hex(df: DataFrame, source: str, digits: int, name: str) -> DataFrame:
     return staged.withColumn(name, F.when(x.rlike(form) & (x != F.repeat(F.substring(x, 1, 1), F.lit(digits))), x)).drop("_x")
 
 
+def kept(df: DataFrame, *names: str) -> DataFrame:
+    """Rows in which none of the cleaned columns is null.
+
+    The mark, which is not deterministic, keeps the condition above the cleaning:
+    pushed down to the scan it would repeat the whole expression at each mention.
+    """
+    known = [F.col(n).isNotNull() for n in names]
+    return df.withColumn("_here", F.monotonically_increasing_id()).where(reduce(lambda a, b: a & b, known, F.col("_here") >= 0)).drop("_here")
+
+
 def hex_long(value: Column, start: int) -> Column:
     """Sixteen hex digits from ``start`` (1-based) as a signed 64-bit integer."""
     high = F.conv(F.substring(value, start, 8), 16, 10).cast("long")
