@@ -1,12 +1,17 @@
 """Same or near-same records across splits.
 
-A record is turned into positional words: its content digest, its subject, and
-the segments of its picture signature. The evaluation records' word grams are
-hashed and partitioned, the training records are scanned for hits, and for each
-(evaluation, training) pair the containment of the evaluation record is
-computed: 1 for the same digest or subject, shared bits / 128 for signatures,
-of which 118 / 128 is near-same. The word of a signature is probed together
-with its near values, so that no pair within the radius is missed.
+A record is turned into positional words: its content digest (eight words of
+four bytes), its subject (letters, number), its own id, and the segments of its
+picture signature. Grams of five words (all words where there are fewer) are
+hashed. The distinct evaluation values' gram hashes are partitioned, the
+distinct training values' grams are scanned for hits, and hits / grams is the
+containment of an evaluation record in a training record. Digests, subjects and
+ids have to be contained whole, and are then compared as they are.
+
+Ten scattered bits can leave no run of words whole, so for signatures single
+bits are the words: containment is the share of 128 bits, 118 / 128 is near-same,
+and the pairs are found by segments probed together with their near values (see
+``nearbits``), so that none within the radius is missed.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import with_hex, with_subject
+from ..functions.clean import kept, with_hex, with_subject
 from ..functions.spread import cut, salted_join, small
 from . import nearbits
 
 RADIUS = 10
 BLOCK = 50_000
+GRAM = 5  # words
+WORD = 8  # hex digits of a digest's word
 
 
 def members(images: DataFrame, signatures: DataFrame, subjects: DataFrame, memberships: DataFrame, plan: DataFrame) -> DataFrame:
@@ -31,13 +38,39 @@ def members(images: DataFrame, signatures: DataFrame, subjects: DataFrame, membe
     """
     role = plan.where("manual_set_version_id is not null").groupBy("manual_set_version_id").agg(F.max(F.lower(F.trim("split_name")) == "train").alias("train"))
     own = memberships.where("image_id is not null").select("manual_set_version_id", "image_id").distinct().join(small(role), "manual_set_version_id")
-    marks = nearbits.with_signature(signatures.select("image_id", "signature")).where("hi is not null and lo is not null").drop("signature").distinct()
-    people = with_subject(subjects.select("image_id", "subject_id"), "subject_id", "subject").where("subject is not null").drop("subject_id").distinct()
+    marks = kept(nearbits.with_signature(signatures.select("image_id", "signature")), "hi", "lo").drop("signature").distinct()
+    people = kept(with_subject(subjects.select("image_id", "subject_id"), "subject_id", "subject"), "subject").drop("subject_id").distinct()
     base = with_hex(images.select(F.col("id").alias("image_id"), "blake3_hash"), "blake3_hash", 64, "digest").drop("blake3_hash")
     joined = own.join(base, "image_id", "left").join(people, "image_id", "left").join(marks, "image_id", "left")
     return joined.select("image_id", F.col("manual_set_version_id").alias("version"), F.coalesce("train", F.lit(False)).alias("train"), "digest", "subject", "hi", "lo")
 
 
+def grams(values: DataFrame) -> DataFrame:
+    """``values`` (reason, value, ...) with ``gram``, a row for each hashed gram, ``at``, its place,
+    and ``grams``, their number."""
+    starts = range(0, 64 - GRAM * WORD + 1, WORD)
+    digest = F.array(*[F.struct(F.lit(k).alias("at"), F.xxhash64("reason", F.lit(k), F.substring("value", i + 1, GRAM * WORD)).alias("gram")) for k, i in enumerate(starts)])
+    short = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("reason", F.lit(0), "value").alias("gram")))
+    full = F.when(F.col("reason") == "content", digest).otherwise(short)
+    return values.withColumn("_g", full).withColumn("grams", F.size("_g")).withColumn("_g", F.explode("_g")).select("*", "_g.at", "_g.gram").drop("_g")
+
+
+def contained(evaluation: DataFrame, train: DataFrame) -> DataFrame:
+    """(reason, value, containment, n, m): values (reason, value) of evaluation records that a
+    training record contains whole; n training and m evaluation rows have them."""
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        own = rows.groupBy("reason", "value").agg(F.count(F.lit(1)).alias("rows"))
+        first = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(f"{c}_{mark}")
+        return grams(own).select("gram", F.xxhash64("reason", "value").alias(mark), F.col("grams").alias(f"grams_{mark}"), first("reason"), first("value"), first("rows"))
+
+    hits = side(evaluation, "e").join(side(train, "t"), "gram").groupBy("e", "t", "grams_e")
+    facts = [F.max(c).alias(c) for c in ("reason_e", "value_e", "value_t", "rows_e", "rows_t")]
+    found = hits.agg(F.count(F.lit(1)).alias("hits"), *facts).withColumn("containment", F.col("hits") / F.col("grams_e"))
+    exact = found.where((F.col("containment") >= 1) & (F.col("value_e") == F.col("value_t")))
+    return exact.select(F.col("reason_e").alias("reason"), F.col("value_e").alias("value"), "containment", F.col("rows_t").alias("n"), F.col("rows_e").alias("m"))
+
+
 def overlaps(images: DataFrame, signatures: DataFrame, subjects: DataFrame, memberships: DataFrame, plan: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(eval_version_id, eval_image_id, train_image_id, reason, containment).
 
@@ -46,31 +79,27 @@ def overlaps(images: DataFrame, signatures: DataFrame, subjects: DataFrame, memb
     nothing; empty inputs give no rows.
     """
     own = cut(members(images, signatures, subjects, memberships, plan), "members")
-    evaluation, train = own.where("not train"), own.where("train")
-    # whole-word grams: digest and subject
-    grams = F.filter(
-        F.array(
-            F.struct(F.lit("member").alias("reason"), F.col("image_id").cast("string").alias("gram")),
-            F.struct(F.lit("content").alias("reason"), F.col("digest").alias("gram")),
-            F.struct(F.lit("subject").alias("reason"), F.col("subject").alias("gram")),
-        ),
-        lambda g: g["gram"].isNotNull(),
-    )
-    words = own.select("version", "train", "image_id", F.explode(grams).alias("g")).select("version", "train", "image_id", "g.reason", "g.gram").distinct()
-    left = words.where("not train").select(F.col("version").alias("eval_version_id"), F.col("image_id").alias("eval_image_id"), "reason", "gram")
-    right = words.where("train").select(F.col("image_id").alias("train_image_id"), "reason", "gram").distinct()
-    hot = cut(right.where("reason <> 'member'").groupBy("reason", "gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "hot")
-    whole = salted_join(left, right, ["reason", "gram"], hot, block).select("eval_version_id", "eval_image_id", "train_image_id", "reason", F.lit(1.0).alias("containment"))
-    # signature grams, on distinct signatures
-    e = cut(evaluation.where("hi is not null").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")), "eval_marks")
-    t = cut(train.where("hi is not null").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")), "train_marks")
-    near = nearbits.near(e.select("hi", "lo"), t.select("hi", "lo"), radius)
-    ev = evaluation.where("hi is not null").select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), F.col("version").alias("eval_version_id"), F.col("image_id").alias("eval_image_id"))
-    tr = train.where("hi is not null").select(F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), F.col("image_id").alias("train_image_id"))
-    step = salted_join(near, ev, ["p_hi", "p_lo"], e.select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), "n"), block)
-    close = salted_join(step, tr, ["i_hi", "i_lo"], t.select(F.col("hi").alias("i_hi"), F.col("lo").alias("i_lo"), "n"), block)
+    value = lambda reason, column: F.struct(F.lit(reason).alias("reason"), column.alias("value"))
+    every = F.array(value("member", F.col("image_id").cast("string")), value("content", F.col("digest")), value("subject", F.col("subject")))
+    values = own.select("version", "train", "image_id", F.explode(every).alias("v")).where("v.value is not null").select("version", "train", "image_id", "v.reason", "v.value")
+    # an image with several signatures or subjects has several rows
+    e = values.where("not train").select(F.col("version").alias("eval_version_id"), F.col("image_id").alias("eval_image_id"), "reason", "value").distinct()
+    t = values.where("train").select(F.col("image_id").alias("train_image_id"), "reason", "value").distinct()
+    matched = cut(contained(e, t), "matched")
+    some = small(matched.select("reason", "value", "containment"))
+    left = e.join(some, ["reason", "value"])
+    right = t.join(small(matched.select("reason", "value")), ["reason", "value"], "left_semi")
+    whole = salted_join(left, right, ["reason", "value"], matched, block).select("eval_version_id", "eval_image_id", "train_image_id", "reason", "containment")
+    # single bits as words, on distinct signatures
+    ev = own.where("not train and hi is not null").select("hi", "lo", F.col("version").alias("eval_version_id"), F.col("image_id").alias("eval_image_id")).distinct()
+    tr = own.where("train and hi is not null").select("hi", "lo", F.col("image_id").alias("train_image_id")).distinct()
+    marks = [cut(side.select("hi", "lo").distinct(), "marks") for side in (ev, tr)]
+    near = cut(nearbits.near(*marks, radius), "near")
+    ends = [small(near.select(F.col(f"{k}_hi").alias("hi"), F.col(f"{k}_lo").alias("lo")).distinct()) for k in ("p", "i")]
+    close = nearbits.expand(near, *[side.join(end, ["hi", "lo"], "left_semi") for side, end in zip((ev, tr), ends)], block)
     close = close.select("eval_version_id", "eval_image_id", "train_image_id", F.lit("near").alias("reason"), (F.col("shared") / nearbits.BITS).alias("containment"))
-    return whole.union(close)
+    key = ["eval_version_id", "eval_image_id", "train_image_id", "reason"]
+    return whole.union(close).groupBy(*key).agg(F.max("containment").alias("containment"))
 
 
 def found(*tables: DataFrame) -> DataFrame:

@@ -144,6 +144,17 @@ meant AS (SELECT name, arg_min(finding_id, (rank, slips, d, finding_id)) AS find
 SELECT c.id AS category_id, coalesce(min(m.finding_id), 0) AS finding_id FROM categories c LEFT JOIN meant m USING (name) WHERE c.id IS NOT NULL GROUP BY c.id"""
 
 
+_SHARED = f"""{_IDS.lstrip()},{_PEOPLE},
+own AS (SELECT DISTINCT m.manual_set_version_id AS version, m.image_id, p.split_name = 'train' AS train FROM manual_set_images m JOIN split_plan p USING (manual_set_version_id)),
+rec AS (SELECT o.*, d.digest, q.subject, m.hi, m.lo FROM own o LEFT JOIN digests d USING (image_id) LEFT JOIN people q USING (image_id) LEFT JOIN marks m USING (image_id)),
+e AS (SELECT * FROM rec WHERE NOT train), t AS (SELECT * FROM rec WHERE train),
+pairs AS (
+  SELECT x.version, x.image_id AS a, y.image_id AS b, 'content' AS reason FROM e x JOIN t y ON x.digest = y.digest
+  UNION ALL SELECT x.version, x.image_id, y.image_id, 'subject' FROM e x JOIN t y ON x.subject = y.subject
+  UNION ALL SELECT x.version, x.image_id, y.image_id, 'member' FROM e x JOIN t y ON x.image_id = y.image_id
+  UNION ALL SELECT x.version, x.image_id, y.image_id, 'near' FROM e x JOIN t y ON {_NEAR})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_found": _MEANT,
@@ -179,14 +190,10 @@ pairs AS (
   UNION ALL
   SELECT x.image_id, y.image_id FROM fresh x JOIN rec y ON {_NEAR} WHERE x.image_batch_id <> y.image_batch_id)
 SELECT DISTINCT least(a, b) AS image_id_a, greatest(a, b) AS image_id_b FROM pairs""",
-        "p2_found": f"""WITH {_IDS.lstrip()},{_PEOPLE},
-own AS (SELECT DISTINCT m.manual_set_version_id AS version, m.image_id, p.split_name = 'train' AS train FROM manual_set_images m JOIN split_plan p USING (manual_set_version_id)),
-rec AS (SELECT o.*, d.digest, q.subject, m.hi, m.lo FROM own o LEFT JOIN digests d USING (image_id) LEFT JOIN people q USING (image_id) LEFT JOIN marks m USING (image_id)),
-e AS (SELECT * FROM rec WHERE NOT train), t AS (SELECT * FROM rec WHERE train),
-pairs AS (
-  SELECT x.version, x.image_id AS a, y.image_id AS b FROM e x JOIN t y ON x.digest = y.digest
-  UNION ALL SELECT x.version, x.image_id, y.image_id FROM e x JOIN t y ON x.subject = y.subject
-  UNION ALL SELECT x.version, x.image_id, y.image_id FROM e x JOIN t y ON x.image_id = y.image_id
-  UNION ALL SELECT x.version, x.image_id, y.image_id FROM e x JOIN t y ON {_NEAR})
+        "p2_found": f"""WITH {_SHARED}
 SELECT DISTINCT version AS eval_version_id, least(a, b) AS image_id_a, greatest(a, b) AS image_id_b FROM pairs""",
+        "p2_report": f"""WITH {_SHARED},
+sets AS (SELECT i.id AS a, original_set_name FROM images i LEFT JOIN batches b ON b.batch_kind = 'image' AND b.batch_id = i.image_batch_id)
+SELECT version AS eval_version_id, original_set_name, reason, count(DISTINCT a) AS eval_images, count(*) AS pairs
+FROM (SELECT DISTINCT * FROM pairs) LEFT JOIN sets USING (a) GROUP BY ALL""",
     }
