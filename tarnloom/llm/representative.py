@@ -1,48 +1,53 @@
-"""Best representative of each duplicate group.
-
-``survivors`` decides field by field which member's value a group keeps: members
-vote with weights that are ordered by trust, then recency, then id, so that one
-vote outweighs all votes below it; the order is a comparison of structs inside a
-partial aggregate, so a group of any size is never gathered.
-
-``spellings`` is the token-level consensus for free-text fields: the distinct
-spellings of a group are cut into tokens, aligned progressively into columns,
-weighted tokens are voted per column, and the existing spelling closest to the
-consensus is emitted.
+"""Best representative of each duplicate group by token-level consensus.
+
+The values of a group are token sequences; they are aligned progressively into
+columns, heaviest first, weighted tokens are voted per column, and what exists
+closest to the consensus is emitted.
+
+``survivors`` decides field by field which member's value a group keeps. A
+member's tokens are its fields, a column holds one field. Votes are ordered by
+trust, then recency, then id, and each outweighs all below it; a missing value
+is no vote. A field's value is taken from the heaviest member that has the
+voted token, and the record is the member that leaves least of the consensus
+empty. Of members with the same usable fields only the heaviest can win
+anything, so a partial aggregate keeps one for each of the eight patterns, and a
+group of any size is never gathered.
+
+``spellings`` is the same for free text: the written forms of a group's subject.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import captured, with_hex, with_subject
+from ..functions.clean import captured, kept, with_hex, with_subject
 from ..functions.spread import cut, salted_join, small
 
 FIELDS = ("license_id", "date_captured", "subject_id")
 
 
 def members(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust: DataFrame) -> DataFrame:
-    """One row for each image with a usable digest: what it offers and how it ranks.
+    """One row for each image of a group of two or more with the same digest: what it offers and how it ranks.
 
     A batch or set that is not listed ranks last; an image with several subject
-    rows has a subject if one of them names somebody.
+    rows has the first subject that names somebody.
     """
     base = with_hex(images.where("id is not null").select(F.col("id").alias("image_id"), "image_batch_id", "blake3_hash", "license_id", "date_captured"), "blake3_hash", 64, "_hex")
-    base = base.where("_hex is not null").select("image_id", "image_batch_id", F.unhex("_hex").alias("digest"), "license_id", captured("date_captured").alias("date_captured"))
-    named = with_subject(subjects.select("image_id", "subject_id"), "subject_id", "_key").where("_key is not null and image_id is not null")
-    named = named.groupBy("image_id").agg(F.lit(True).alias("_named"))
+    base = cut(kept(base, "_hex").select("image_id", "image_batch_id", F.unhex("_hex").alias("digest"), "license_id", captured("date_captured").alias("date_captured")), "digests")
+    groups = cut(base.groupBy("digest").agg(F.min("image_id").alias("group_image_id"), F.max("image_id").alias("_last")).where("group_image_id <> _last").drop("_last"), "groups")
+    own = base.join(small(groups), "digest")
+    named = kept(with_subject(subjects.select("image_id", "subject_id").join(small(own.select("image_id")), "image_id", "left_semi"), "subject_id", "_key"), "_key")
+    named = named.groupBy("image_id").agg(F.min("_key").alias("subject"))
     ranks = trust.where("original_set_name is not null").groupBy("original_set_name").agg(F.min("trust_rank").alias("trust_rank"))
     made = batches.where("batch_kind = 'image'").groupBy(F.col("batch_id").alias("image_batch_id")).agg(F.max(F.struct("created_at", "original_set_name")).alias("_b"))
     made = made.select("image_batch_id", "_b.created_at", "_b.original_set_name").join(small(ranks), "original_set_name", "left")
-    return base.join(small(made), "image_batch_id", "left").join(named, "image_id", "left").select(
-        "image_id", "digest", F.col("license_id").isNotNull().alias("license_ok"), F.col("date_captured").isNotNull().alias("date_ok"), F.col("_named").isNotNull().alias("subject_ok"), "trust_rank", "created_at"
-    )
+    return own.join(small(made), "image_batch_id", "left").join(named, "image_id", "left").select("image_id", "group_image_id", "license_id", "date_captured", "subject", "trust_rank", "created_at")
 
 
 def survivors(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust: DataFrame) -> DataFrame:
@@ -53,41 +58,67 @@ def survivors(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust:
     the member with the most usable fields, ties in the same order. Missing
     ranks and dates come last. Empty tables give no rows.
     """
-    own = members(images, subjects, batches, trust)
-    order = [-F.col("trust_rank").cast("long"), F.col("created_at"), -F.col("image_id")]  # the largest struct is the best; null is smallest
-    vote = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    usable = F.col("license_ok").cast("int") + F.col("date_ok").cast("int") + F.col("subject_ok").cast("int")
-    oks = dict(zip(FIELDS, ("license_ok", "date_ok", "subject_ok")))
-    groups = own.groupBy("digest").agg(
-        F.min("image_id").alias("group_image_id"),
-        F.max("image_id").alias("_last"),
-        *[F.max(F.when(F.col(ok), vote)).alias(name) for name, ok in oks.items()],
-        F.max(F.struct(usable.alias("u"), vote.alias("v"))).alias("record"),
-    )
-    winners = [F.struct(F.lit(n).alias("field_name"), (-F.col(f"{n}.o2")).alias("image_id")) for n in FIELDS]
-    winners.append(F.struct(F.lit("record").alias("field_name"), (-F.col("record.v.o2")).alias("image_id")))
-    rows = groups.where("group_image_id <> _last").select("group_image_id", F.explode(F.array(*winners)).alias("w"))
-    return rows.select("group_image_id", "w.field_name", "w.image_id").where("image_id is not null")
+    values = dict(zip(FIELDS, ("license_id", "date_captured", "subject")))
+    pattern = sum(F.col(c).isNotNull().cast("int") * (1 << k) for k, c in enumerate(values.values()))
+    tokens = F.array(*[F.concat(F.lit(f"{name}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for name, c in values.items()])
+    order = [-F.col("trust_rank").cast("long"), F.col("created_at"), -F.col("image_id")]  # the largest struct is the heaviest; null is smallest
+    own = members(images, subjects, batches, trust).select("group_image_id", pattern.alias("pattern"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], tokens.alias("tokens")).alias("vote"))
+    best = own.groupBy("group_image_id").agg(*[F.max(F.when(F.col("pattern") == k, F.col("vote"))).alias(f"v{k}") for k in range(1 << len(values))])
+    voters = F.sort_array(F.array_compact(F.array(*[F.col(f"v{k}") for k in range(1 << len(values))])), asc=False)
+    groups = best.select("group_image_id", F.transform(voters, lambda v: F.struct((-v["o2"]).alias("image_id"), v["tokens"].alias("tokens"))).alias("voters"))
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            rows = [(g, *w) for g, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in winners([(x["image_id"], x["tokens"]) for x in v])]
+            columns = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["group_image_id", "field_name", "image_id"])
+
+    return groups.mapInArrow(run, "group_image_id long, field_name string, image_id long")
+
+
+def field_of(token: str) -> str:
+    return token.partition("=")[0]
+
+
+def winners(voters: list[tuple[int, list[str]]]) -> list[tuple[str, int]]:
+    """(field, member) for members and their field tokens that come heaviest first: each vote is
+    twice the one below it, so more than all of them together."""
+    same = lambda a, b: field_of(a) == field_of(b)
+    void = lambda t: not t or t.endswith("=")
+    agreed = voted(((t, 2.0**-k) for k, (_, t) in enumerate(voters)), same, void)
+    out = [(field_of(t), next(i for i, own in voters if t in own)) for t in agreed]
+    record = min(range(len(voters)), key=lambda k: (distance([t for t in voters[k][1] if not void(t)], agreed, same), k))
+    return [*out, ("record", voters[record][0])]
 
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\s+")
 
 
-def align(columns: list[dict[str, float]], total: float, tokens: list[str], weight: float) -> None:
+Same = Callable[[str, str], bool]
+
+
+def align(columns: list[dict[str, float]], total: float, tokens: list[str], weight: float, same: Same | None = None) -> None:
     """Adds a token sequence to the profile by global alignment. A column maps a token
-    ('' is a gap) to its votes, of ``total`` in all; matching costs the share of other votes."""
+    ('' is a gap) to its votes, of ``total`` in all; matching costs the share of other votes.
+    ``same`` says which tokens may share a column, all if it is not given."""
     n, m = len(columns), len(tokens)
     gap = [1 - c.get("", 0.0) / total for c in columns]
+
+    def match(i: int, j: int) -> float:
+        if same and not same(next(t for t in columns[i] if t), tokens[j]):
+            return float("inf")
+        return 1 - columns[i].get(tokens[j], 0.0) / total
+
     cost = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         cost[i][0] = cost[i - 1][0] + gap[i - 1]
     for j in range(1, m + 1):
         cost[0][j] = j
         for i in range(1, n + 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + 1 - columns[i - 1].get(tokens[j - 1], 0.0) / total, cost[i - 1][j] + gap[i - 1], cost[i][j - 1] + 1)
+            cost[i][j] = min(cost[i - 1][j - 1] + match(i - 1, j - 1), cost[i - 1][j] + gap[i - 1], cost[i][j - 1] + 1)
     i, j = n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + 1 - columns[i - 1].get(tokens[j - 1], 0.0) / total:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + match(i - 1, j - 1):
             i, j = i - 1, j - 1
             columns[i][tokens[j]] = columns[i].get(tokens[j], 0.0) + weight
         elif i and cost[i][j] == cost[i - 1][j] + gap[i - 1]:
@@ -98,27 +129,28 @@ def align(columns: list[dict[str, float]], total: float, tokens: list[str], weig
             columns.insert(i, {"": total, tokens[j]: weight})
 
 
-def voted(votes: Iterable[tuple[str, float]]) -> list[str]:
-    """The weighted token consensus of values that come heaviest first, then smallest
-    first. They are read once; only the profile is held."""
+def voted(votes: Iterable[tuple[list[str], float]], same: Same | None = None, void: Callable[[str], bool] | None = None) -> list[str]:
+    """The weighted consensus of token sequences that come heaviest first. They are read
+    once; only the profile is held. Tokens (and '' for gaps) that are ``void`` have no vote."""
     columns: list[dict[str, float]] = []
     total = 0.0
-    for value, weight in votes:
-        tokens = TOKEN.findall(value)
-        if columns:
-            align(columns, total, tokens, weight)
+    for tokens, weight in votes:
+        if total:
+            align(columns, total, tokens, weight, same)
             total += weight
         else:
             columns, total = [{t: weight} for t in tokens], weight
-    return [t for c in columns if (t := max(sorted(c), key=lambda x: c[x]))]
+    said = ([t for t in sorted(c) if not (void and void(t))] for c in columns)
+    return [t for c, own in zip(columns, said) if (t := max(own, key=lambda x: c[x], default=""))]
 
 
-def distance(a: list[str], b: list[str]) -> int:
+def distance(a: list[str], b: list[str], same: Same | None = None) -> int:
+    """Insertions, deletions and replacements between two sequences; a token replaces a same one for nothing."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (not same(x, y) if same else x != y))
     return row[-1]
 
 
@@ -126,7 +158,7 @@ def closest(values: list[str], weights: list[float]) -> int:
     """Index of the value closest to the weighted token consensus; ties go to the
     heavier, then to the smaller value."""
     order = sorted(range(len(values)), key=lambda i: (-weights[i], values[i]))
-    consensus = voted((values[i], weights[i]) for i in order)
+    consensus = voted((TOKEN.findall(values[i]), weights[i]) for i in order)
     return min(order, key=lambda i: distance(TOKEN.findall(values[i]), consensus))
 
 
@@ -140,11 +172,9 @@ def spellings(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust:
     stream into its profile, which is all that is held of it, and its spellings
     are compared with the consensus where they are: the same result.
     """
-    own = members(images, subjects, batches, trust).select("image_id", "digest", "trust_rank")
-    named = with_subject(subjects.select("image_id", "subject_id"), "subject_id", "_key").where("_key is not null").drop("_key").distinct()
-    groups = own.groupBy("digest").agg(F.min("image_id").alias("group_image_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    votes = own.join(named, "image_id").groupBy("digest", "subject_id").agg(F.sum(1 / F.coalesce("trust_rank", F.lit(100))).alias("votes"))
-    level = cut(votes.join(groups, "digest").select("group_image_id", "subject_id", "votes"), "spellings")
+    own = members(images, subjects, batches, trust).where("subject is not null").select("image_id", "group_image_id", "trust_rank")
+    named = kept(with_subject(subjects.select("image_id", "subject_id"), "subject_id", "_key"), "_key").drop("_key").distinct()
+    level = cut(own.join(named, "image_id").groupBy("group_image_id", "subject_id").agg(F.sum(1 / F.coalesce("trust_rank", F.lit(100))).alias("votes")), "spellings")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -155,7 +185,7 @@ def spellings(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust:
     def profile(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (r for batch in batches_ for r in zip(*(batch.column(i).to_pylist() for i in range(3))))
         for group, own_ in groupby(stream, key=lambda r: r[0]):
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([voted(r[1:] for r in own_)], pa.list_(pa.string()))], ["group_image_id", "consensus"])
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([voted((TOKEN.findall(r[1]), r[2]) for r in own_)], pa.list_(pa.string()))], ["group_image_id", "consensus"])
 
     def compare(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:

@@ -101,6 +101,29 @@ def test_survivors_by_trust_recency_and_id(frame):
     assert rows(got) == sorted([(4, "license_id", 6), (4, "date_captured", 4), (4, "subject_id", 6), (4, "record", 7)], key=repr)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_survivors_equal_a_sort_of_each_group(frame, seed):
+    rng = random.Random(seed)
+    trust = {"a": 1, "b": 1, "c": 2}
+    batches = [(s, "image", f"V{v}", 10 * k + v, rng.choice([None, datetime(2020, 1, v)])) for k, s in enumerate("abcd") for v in (1, 2)]
+    images = [(i, rng.choice(batches)[3], "", 1, 1, f"{rng.randrange(12):02x}" * 16 + "ab" * 16, rng.choice([None, 1, 2]), rng.choice([None, date(1900, 1, 1), date(2020, 5, rng.randint(1, 9))])) for i in range(1, 80)]
+    people = {i[0]: rng.choice(["X-1", "x 01", "Y-2", "n/a", "", None]) for i in images}
+    made = {b[3]: (trust.get(b[0], 99), -(b[4].timestamp() if b[4] else -1e18)) for b in batches}
+    groups = defaultdict(list)
+    for i in images:
+        groups[i[5]].append(i)
+    want = []
+    for g in (g for g in groups.values() if len(g) > 1):
+        rank = sorted(g, key=lambda i: (*made[i[1]], i[0]))
+        ok = {i[0]: (i[6] is not None, i[7] is not None and i[7].year > 1970, people[i[0]] in ("X-1", "x 01", "Y-2")) for i in g}
+        low = min(i[0] for i in g)
+        for k, name in enumerate(("license_id", "date_captured", "subject_id")):
+            want += [(low, name, next(i[0] for i in rank if ok[i[0]][k]))] if any(x[k] for x in ok.values()) else []
+        want.append((low, "record", max(rank, key=lambda i: sum(ok[i[0]]))[0]))
+    got = representative.survivors(frame(images, IMAGES), frame(list(people.items()), "image_id long, subject_id string"), frame(batches, BATCHES), frame(list(trust.items()), "original_set_name string, trust_rank int"))
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_survivors_of_empty_tables(frame):
     t = frame([], IMAGES), frame([], "image_id long, subject_id string"), frame([], BATCHES), frame([], "original_set_name string, trust_rank int")
     assert rows(representative.survivors(*t)) == rows(representative.spellings(*t)) == []
