@@ -22,7 +22,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import with_subject
+from ..functions.clean import kept, with_subject
 from ..functions.spread import cut, ranked, salted_join, small
 
 BINS = 200
@@ -55,7 +55,7 @@ def stars(edges: DataFrame) -> DataFrame:
 def _subjects(subjects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(image_id, subject) with one subject for each image; (subject, rep, n) with the smallest
     image of each and the number of images it is the one of; edges between subjects of one image."""
-    rows = with_subject(subjects.select("image_id", "subject_id"), "subject_id", "subject").where("subject is not null and image_id is not null").select("image_id", "subject").distinct()
+    rows = kept(with_subject(subjects.select("image_id", "subject_id"), "subject_id", "subject"), "subject", "image_id").select("image_id", "subject").distinct()
     rows = cut(rows, "subjects")
     own = rows.groupBy("image_id").agg(F.min("subject").alias("subject"), F.max("subject").alias("_other"))
     extra = own.where("subject <> _other").select("image_id").join(rows, "image_id").join(own.select("image_id", F.col("subject").alias("_own")), "image_id").where("subject <> _own")
