@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import hex_long, with_hex
-from ..functions.spread import small
+from ..functions.spread import salted_join, small
 
 BITS = 128
 ROWS_PER_PARTITION = 1_000_000
@@ -218,3 +218,17 @@ def near(probing: DataFrame, indexed: DataFrame, radius: int, most: int = ROWS_P
     if hot.take(1):
         stored, probe = parted(stored, probe, hot)
     return meet(probe, stored, m, radius, bits, partitions)
+
+
+def expand(links: DataFrame, left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """``links`` (p_hi, p_lo, i_hi, i_lo, ...) with the rows of ``left`` that have the p
+    signature and those of ``right`` that have the i signature (both by hi, lo; other
+    columns of different names). Signatures that many rows have are cut into blocks."""
+    side = lambda df, mark: df.withColumnsRenamed({"hi": f"{mark}_hi", "lo": f"{mark}_lo"})
+    p, i = ["p_hi", "p_lo"], ["i_hi", "i_lo"]
+    count = lambda df, mark: side(df.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")), mark)
+    own = count(left, "p")
+    partners = links.groupBy(*p).agg(F.count(F.lit(1)).alias("m"))
+    reached = links.join(own, p).groupBy(*i).agg(F.sum("n").alias("m"))
+    half = salted_join(links, side(left, "p"), p, own.join(partners, p), block)
+    return salted_join(half, side(right, "i"), i, count(right, "i").join(reached, i), block)
