@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import with_hex
+from ..functions.clean import kept, with_hex
 from ..functions.spread import cut, salted_join, scratch, small
 from . import nearbits
 
@@ -228,27 +228,20 @@ class ChunkStore:
         heads = cut(self.same(keys), "heads")
         members = cut(self.hit("members", heads, F.xxhash64("digest")).join(small(heads), "digest"), "members")
         hot = members.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.count_if(arrived).alias("m"))
-        copies = _pairs(members.where(arrived).drop("delivery", "bucket"), members, ["digest"], hot, block)
+        old = members.select("digest", F.col("image_id").alias("y"), F.col("batch").alias("y_batch"), F.col("seq").alias("y_seq"))
+        copies = _ordered(salted_join(members.where(arrived).drop("delivery", "bucket"), old, ["digest"], hot, block))
         links = cut(self.near(keys), "links")
         touched = cut(links.select(F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo")).union(links.select("i_hi", "i_lo")).distinct(), "touched")
         signed = cut(self.hit("signatures", touched, F.xxhash64("hi", "lo")).join(small(touched), ["hi", "lo"]), "signed")
-        renamed = lambda df, side: df.withColumnsRenamed({"hi": f"{side}_hi", "lo": f"{side}_lo"})
-        sizes = signed.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.count_if(arrived).alias("m"))
-        degree = renamed(sizes, "i").join(links.join(renamed(sizes.select("hi", "lo", F.col("m").alias("_from")), "p"), ["p_hi", "p_lo"]).groupBy("i_hi", "i_lo").agg(F.sum("_from").alias("_m")), ["i_hi", "i_lo"]).select("i_hi", "i_lo", "n", F.col("_m").alias("m"))
-        x = renamed(signed.where(arrived).select("hi", "lo", "image_id", "batch", "seq"), "p")
-        left = salted_join(links, x, ["p_hi", "p_lo"], renamed(sizes.select("hi", "lo", F.col("m").alias("n")), "p"), block)
-        y = renamed(signed.select("hi", "lo", "image_id", "batch", "seq"), "i")
-        near = _pairs(left, y, ["i_hi", "i_lo"], degree, block)
+        x = signed.where(arrived).select("hi", "lo", "image_id", "batch", "seq")
+        y = signed.select("hi", "lo", F.col("image_id").alias("y"), F.col("batch").alias("y_batch"), F.col("seq").alias("y_seq"))
+        near = _ordered(nearbits.expand(links, x, y, block))
         return copies.union(near).distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame, block: int) -> DataFrame:
-    """(image_id_a, image_id_b): an arrival on the left with what came earlier on the right.
-
-    Two arrivals of one number meet from both sides, other pairs from one.
-    """
-    y = right.select(*key, F.col("image_id").alias("y"), F.col("batch").alias("y_batch"), F.col("seq").alias("y_seq"))
-    both = salted_join(left, y, key, hot, block)
+def _ordered(both: DataFrame) -> DataFrame:
+    """(image_id_a, image_id_b) of rows (image_id, batch, seq, y, y_batch, y_seq): an arrival with what
+    came earlier. Two arrivals of one number meet from both sides, other pairs from one."""
     found = both.where((F.col("batch") != F.col("y_batch")) & (F.col("y_seq") <= F.col("seq")))
     return found.select(F.least("image_id", "y").alias("image_id_a"), F.greatest("image_id", "y").alias("image_id_b"))
 
@@ -272,8 +265,8 @@ def find_repeats(images: DataFrame, signatures: DataFrame, new_batches: DataFram
     sizes = {r[0]: r[1] for r in every.groupBy("delivery").count().collect()}  # a row for each arrival number
     known = store.deliveries()
     fresh = every.where(~F.col("delivery").isin(*known)) if known else every
-    digests = with_hex(fresh, "blake3_hash", 64, "_hex").where("_hex is not null").select("delivery", "image_id", "batch", "seq", F.unhex("_hex").alias("digest"))
-    marks = nearbits.with_signature(signatures.select("image_id", "signature")).where("image_id is not null and hi is not null and lo is not null").select("image_id", "hi", "lo").distinct()
+    digests = kept(with_hex(fresh, "blake3_hash", 64, "_hex"), "_hex").select("delivery", "image_id", "batch", "seq", F.unhex("_hex").alias("digest"))
+    marks = kept(nearbits.with_signature(signatures.select("image_id", "signature")), "image_id", "hi", "lo").select("image_id", "hi", "lo").distinct()
     marks = marks.join(fresh.select("delivery", "image_id", "batch", "seq"), "image_id")
     store.append(digests, marks, sizes)
     keys = [k for k in sizes if k != "history"]
