@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import consensus, lookalike, overlaps, packing, related, repeats, representative, tokens, vocabulary
 
@@ -74,6 +75,18 @@ def p8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(*_t(spark, sf_dir, "documents", "containers"))
 
 
+def p8_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placement by characters, in figures that SQL can state: pieces and their total, overfull
+    containers, and whether the containers are within a hundredth of the volume's bound."""
+    documents, kinds = _t(spark, sf_dir, "documents", "containers")
+    placed = packing.pack(documents.select("doc_id", "n_chars"), kinds, size_column="n_chars")
+    load = placed.groupBy("container_kind", "container_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("load"))
+    own = load.join(F.broadcast(kinds.groupBy("container_kind").agg(F.min("capacity_tokens").alias("room"))), "container_kind")  # two rows
+    needed = F.count_if(F.col("load") > 0)
+    close = needed <= F.ceil(F.sum("load") / F.max("room")) * 1.01 + 1
+    return own.groupBy("container_kind").agg(F.sum("pieces").alias("pieces"), F.sum("load").alias("total"), F.count_if(F.col("load") > F.col("room")).alias("overfull"), close.alias("close"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.found(*_t(spark, sf_dir, "documents"))
 
@@ -83,7 +96,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
+    return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit() and callable(f)}
 
 
 # Hex values however they are written: lower case, without prefix, separators and white space.
@@ -126,21 +139,22 @@ def _words(value: str) -> str:
     x = f"translate(regexp_replace({x}, '[\\p{{M}}\\p{{Cf}}]+', '', 'g'), '{vocabulary.MARKED}', '{vocabulary.PLAIN}')"
     x = f"regexp_replace({x}, '^\\s*\\(([^()]*)\\)\\s*$', '\\1')"
     x = f"regexp_replace({x}, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', ' ', 'g')"
-    for _ in range(2):  # neighbouring qualifiers share a separator
-        x = f"regexp_replace({x}, '(^|[^a-z])(?:{vocabulary.QUALIFIERS})([^a-z]|$)', '\\1 \\2', 'g')"
     return f"regexp_extract_all({x}, '[a-z]+')"
 
 
 _MEANT = f"""WITH w AS (SELECT name, {_words("name")} AS w FROM (SELECT DISTINCT name FROM categories WHERE name IS NOT NULL)),
-forms AS (SELECT name, array_to_string(w, '') AS form, 0 AS turned FROM w WHERE len(w) > 0 UNION ALL SELECT name, array_to_string(w[2:], '') || w[1], 1 FROM w WHERE len(w) > 1),
-entries AS (SELECT finding_id, array_to_string({_words("name")}, '') AS form, array_to_string({_words("abbrev")}, '') AS short FROM finding_reference),
+entries AS (SELECT finding_id, array_to_string(e, '') AS form, array_to_string(a, '') AS short, len(e) AS k FROM (SELECT finding_id, {_words("name")} AS e, {_words("abbrev")} AS a FROM finding_reference)),
+whole AS (SELECT name, array_to_string(w, '') AS form, len(w) AS n, 0 AS turned FROM w WHERE len(w) > 0 UNION ALL SELECT name, array_to_string(w[2:], '') || w[1], len(w), 1 FROM w WHERE len(w) > 1),
 begun AS (SELECT substr(form, 1, n) AS form, min(finding_id) AS finding_id FROM (SELECT finding_id, form, unnest(range({vocabulary.LEAST}, length(form))) AS n FROM entries) GROUP BY 1 HAVING count(DISTINCT finding_id) = 1),
+starts AS (SELECT name, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+pieces AS (SELECT * FROM whole UNION SELECT name, array_to_string(w[i:i + n - 1], ''), n, 0 FROM (SELECT name, w, i, unnest(range(1, least((SELECT max(k) + 1 FROM entries), len(w) - i + 1) + 1)) AS n FROM starts)),
 every AS (
-  SELECT name, turned AS rank, 0 AS slips, 0 AS d, e.finding_id FROM forms f JOIN entries e ON f.form = e.form
-  UNION ALL SELECT name, 2, 0, 0, e.finding_id FROM forms f JOIN entries e ON f.form = e.short WHERE turned = 0
-  UNION ALL SELECT name, 3, 0, 0, b.finding_id FROM forms f JOIN begun b ON f.form = b.form WHERE turned = 0
-  UNION ALL SELECT name, 4, damerau_levenshtein(f.form, e.form), levenshtein(f.form, e.form) * 2 + turned, e.finding_id FROM forms f JOIN entries e ON length(e.form) >= 5 AND damerau_levenshtein(f.form, e.form) <= 2),
-meant AS (SELECT name, arg_min(finding_id, (rank, slips, d, finding_id)) AS finding_id FROM every GROUP BY name)
+  SELECT name, n, turned AS rank, length(f.form) AS letters, 0 AS slips, 0 AS d, turned, e.finding_id FROM pieces f JOIN entries e ON f.form = e.form
+  UNION ALL SELECT name, n, 2, length(f.form), 0, 0, 0, e.finding_id FROM pieces f JOIN entries e ON f.form = e.short WHERE turned = 0 AND e.short <> ''
+  UNION ALL SELECT name, n, 3, length(f.form), 0, 0, 0, b.finding_id FROM whole f JOIN begun b ON f.form = b.form WHERE turned = 0
+  UNION ALL SELECT name, n, 4, length(f.form), damerau_levenshtein(f.form, e.form), levenshtein(f.form, e.form), turned, e.finding_id FROM pieces f JOIN entries e
+    ON abs(length(f.form) - length(e.form)) <= least(2, length(e.form) // 3) AND damerau_levenshtein(f.form, e.form) <= least(2, length(e.form) // 3)),
+meant AS (SELECT name, arg_min(finding_id, (-n, rank, -letters, slips, d, turned, finding_id)) AS finding_id FROM every GROUP BY name)
 SELECT c.id AS category_id, coalesce(min(m.finding_id), 0) AS finding_id FROM categories c LEFT JOIN meant m USING (name) WHERE c.id IS NOT NULL GROUP BY c.id"""
 
 
@@ -178,6 +192,8 @@ edges AS (SELECT image_id AS a, head AS b FROM rep WHERE image_id <> head UNION
 either_way AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS node, a AS root FROM either_way UNION SELECT e.b, r.root FROM reach r JOIN either_way e ON e.a = r.node WHERE r.root < e.b)
 SELECT node AS image_id, min(root) AS group_image_id FROM reach GROUP BY node""",
+        "p8_by_length": """SELECT container_kind, sum(greatest(1, ceil(coalesce(n_chars, 0) / capacity_tokens)))::BIGINT AS pieces, sum(coalesce(n_chars, 0))::BIGINT AS total, 0::BIGINT AS overfull, true AS close
+FROM documents, containers GROUP BY container_kind""",
         "p9_found": f"""WITH own AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL),
 shown AS (SELECT * FROM own WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shown a JOIN shown b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",

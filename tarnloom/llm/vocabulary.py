@@ -1,21 +1,25 @@
 """Mapping free-entered values to a canonical list. SQL only.
 
-A value is brought to its bare letters: width, look-alikes, accents and
-invisible characters away, then qualifiers, numbering and bracketed remarks,
-then everything but letters. A value means the entry whose name or
-abbreviation it is; failing that the only entry of which it is a beginning of
-at least LEAST letters (a cut-off name); failing that the closest entry within
-two slips of the pen, where a slip is one letter more, less, other or two
-neighbours swapped. Values with the first word put behind count as well. Slips
-are looked for in names of five letters or more; shorter names, of which two
-slips leave little, and abbreviations count only as they are.
-
-Slips are found by a pigeonhole join: two slips are a Levenshtein distance of
-at most four, so of five segments of a reference string one is in the value
-unchanged, moved by at most four places. The join is an equality join on the
-segment's letters; candidates are verified with the built-in levenshtein, and
-distances of three and four, which only swaps allow, by the letters that
-differ. What nothing maps is reported through an anti-join as entry 0.
+A value is brought to its bare words: width, look-alikes, accents, invisible
+characters and bracketed remarks away, then everything but letters. Words in a
+row, written together, are its pieces; the whole value is the longest one, and
+once more with its first word put behind. A piece means the entry whose name or
+abbreviation it is, or the closest entry within the slips of the pen that the
+entry's length allows: one for each three letters, two at most, where a slip is
+one letter more, less, other or two neighbours swapped. A whole value that is a
+beginning, of at least LEAST letters, of one entry only means that entry (a
+cut-off name). The piece of most words, then of most letters, that means
+something decides, so any words around an entry's name qualify it without naming
+another. Abbreviations are codes, of which a slip makes another code, and count
+only as they are.
+
+Slips are found by a pigeonhole join: s slips are a Levenshtein distance of at
+most 2 s, so of 2 s + 1 segments of a reference string one is in the piece
+unchanged, moved by at most 2 s places. The join is an equality join on the
+segment's letters over the distinct pieces, spread over tasks; candidates are
+verified with the built-in levenshtein, and distances above s, which only swaps
+allow, by the letters that differ and then by the swaps themselves. What nothing maps is reported through an
+anti-join as entry 0.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ LEAST = 4
 # Letters that look like, or are, Latin letters with a mark, and the plain letters.
 MARKED = "аеорсухіѕԁһԝԛјӏɡкмтвнοαεικνρτυ" + "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőřśšşţťùúûüūůűýÿźżž"
 PLAIN = "aeopcyxisdhwqjlgkmtbhoaeiknptu" + "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorsssttuuuuuuuyyzzz"
-# Words that qualify a finding without naming another.
-QUALIFIERS = "r/o|rule out|acute|chronic|suspected|possible|poss|probable|prob|bilateral|unilateral|left|right|mild|moderate|severe|nos|old|new|temp|tmp|v[0-9]+"
 
 
 def _sql(text: str) -> str:
@@ -44,23 +46,32 @@ def letters_sql(value: str) -> str:
     x = f"translate(regexp_replace({x}, {_sql(r'[\p{M}\p{Cf}]+')}, ''), {_sql(MARKED)}, {_sql(PLAIN)})"
     x = f"regexp_replace({x}, {_sql(r'^\s*\(([^()]*)\)\s*$')}, '$1')"
     x = f"regexp_replace({x}, {_sql(r'\([^()]*\)|\[[^\[\]]*\]')}, ' ')"
-    x = f"regexp_replace({x}, {_sql(rf'(?<![a-z])({QUALIFIERS})(?![a-z])')}, ' ')"
     return f"regexp_extract_all({x}, '[a-z]+', 0)"
 
 
-FORMS = f"""
-WITH words AS (SELECT name, {letters_sql("name")} AS w FROM (SELECT DISTINCT name FROM {{categories}} WHERE name IS NOT NULL))
-SELECT name, array_join(w, '') AS form, 0 AS turned FROM words WHERE size(w) > 0
-UNION ALL SELECT name, array_join(slice(w, 2, size(w)), '') || w[0], 1 FROM words WHERE size(w) > 1"""
+WORDS = f"""
+SELECT name, w FROM (SELECT name, {letters_sql("name")} AS w FROM (SELECT DISTINCT name FROM {{categories}} WHERE name IS NOT NULL)) WHERE size(w) > 0"""
+
+WHOLE = """
+SELECT name, array_join(w, '') AS form, size(w) AS n, 0 AS turned FROM {words}
+UNION ALL SELECT name, array_join(slice(w, 2, size(w)), '') || w[0], size(w), 1 FROM {words} WHERE size(w) > 1"""
 
 ENTRIES = f"""
-WITH plain AS (SELECT finding_id, array_join({letters_sql("name")}, '') AS form, array_join({letters_sql("abbrev")}, '') AS short FROM {{reference}} WHERE finding_id IS NOT NULL)
-SELECT DISTINCT finding_id, form, short FROM plain"""
+SELECT DISTINCT finding_id, array_join(w, '') AS form, array_join({letters_sql("abbrev")}, '') AS short, size(w) AS n
+FROM (SELECT finding_id, abbrev, {letters_sql("name")} AS w FROM {{reference}} WHERE finding_id IS NOT NULL)"""
+
+
+
+def swaps_sql(value: str) -> str:
+    """The SQL array of a word's forms with two neighbouring letters swapped."""
+    part = f"concat(substring({value}, 1, i - 1), substring({value}, i + 1, 1), substring({value}, i, 1), substring({value}, i + 2))"
+    return f"transform(sequence(1, greatest(1, length({value}) - 1)), i -> {part})"
+
 
 # Names and abbreviations as they are; of several entries the smallest id.
 EQUAL = """
-SELECT f.name, min(e.finding_id) AS finding_id, min(f.turned) AS rank FROM {forms} f JOIN {entries} e ON f.form = e.form GROUP BY f.name
-UNION ALL SELECT f.name, min(e.finding_id), 2 FROM {forms} f JOIN {entries} e ON f.form = e.short WHERE f.turned = 0 AND e.short <> '' GROUP BY f.name"""
+SELECT f.name, f.n, f.turned AS rank, length(f.form) AS letters, 0 AS slips, 0 AS d, f.turned, e.finding_id FROM {forms} f JOIN {entries} e ON f.form = e.form
+UNION ALL SELECT f.name, f.n, 2, length(f.form), 0, 0, 0, e.finding_id FROM {forms} f JOIN {entries} e ON f.form = e.short WHERE f.turned = 0 AND e.short <> ''"""
 
 # Beginnings that are those of one entry only.
 BEGUN = """
@@ -68,39 +79,50 @@ WITH beginnings AS (
   SELECT form, min(finding_id) AS finding_id FROM (
     SELECT finding_id, explode(transform(sequence({least}, greatest({least}, length(form) - 1)), n -> substring(form, 1, n))) AS form FROM {entries} WHERE length(form) > {least})
   GROUP BY form HAVING count(DISTINCT finding_id) = 1)
-SELECT f.name, b.finding_id, 3 AS rank FROM {forms} f JOIN beginnings b ON f.form = b.form WHERE f.turned = 0"""
-
-# Segment i of five of a reference string: (segment, its place).
+SELECT f.name, f.n, 3 AS rank, length(f.form) AS letters, 0 AS slips, 0 AS d, 0 AS turned, b.finding_id FROM {forms} f JOIN beginnings b ON f.form = b.form WHERE f.turned = 0"""
+
+# What nothing settles as a whole, with its pieces: up to one word more than the longest entry has.
+PIECES = """
+WITH open AS (SELECT w.* FROM {words} w LEFT ANTI JOIN {settled} s ON w.name = s.name),
+most AS (SELECT coalesce(max(n), 0) + 1 AS k FROM {entries}),
+starts AS (SELECT name, w, posexplode(w) AS (at, first) FROM open),
+parts AS (SELECT name, w, at, explode(sequence(1, least((SELECT k FROM most), size(w) - at))) AS n FROM starts)
+SELECT DISTINCT name, array_join(slice(w, at + 1, n), '') AS form, n, 0 AS turned FROM parts
+UNION ALL SELECT f.name, f.form, f.n, f.turned FROM {whole} f JOIN open o ON f.name = o.name WHERE f.turned = 1 OR f.n > (SELECT k FROM most)"""
+
+# The segments of a reference string with their places, against the places of the distinct pieces.
 SLIPPED = """
-WITH cuts AS (
-  SELECT finding_id, form, posexplode(transform(sequence(0, 4), i -> struct(
-    CAST(floor(length(form) * i / 5) AS INT) + 1 AS place,
-    substring(form, CAST(floor(length(form) * i / 5) AS INT) + 1, CAST(floor(length(form) * (i + 1) / 5) - floor(length(form) * i / 5) AS INT)) AS segment))) AS (i, s)
-  FROM {entries} WHERE length(form) >= 5),
-widths AS (SELECT DISTINCT length(s.segment) AS width FROM cuts),
-shapes AS (SELECT sort_array(collect_set(width)) AS ws FROM widths),
+WITH sized AS (SELECT finding_id, form, CAST(least(2, length(form) div 3) AS INT) AS s FROM {entries}),
+cuts AS (
+  SELECT finding_id, form, s, explode(transform(sequence(0, 2 * s), i -> struct(
+    CAST(floor(length(form) * i / (2 * s + 1)) AS INT) + 1 AS place,
+    substring(form, CAST(floor(length(form) * i / (2 * s + 1)) AS INT) + 1, CAST(floor(length(form) * (i + 1) / (2 * s + 1)) - floor(length(form) * i / (2 * s + 1)) AS INT)) AS segment))) AS c
+  FROM sized WHERE s > 0),
+shapes AS (SELECT coalesce(sort_array(collect_set(length(c.segment))), array()) AS ws FROM cuts),
+own AS (SELECT /*+ REPARTITION({parts}, form) */ DISTINCT form FROM {pieces}),
 parts AS (
-  SELECT name, form, turned, width, explode(sequence(1, length(form) - width + 1)) AS place
-  FROM (SELECT name, form, turned, explode((SELECT ws FROM shapes)) AS width FROM {forms}) WHERE length(form) >= width),
+  SELECT form, width, explode(sequence(1, length(form) - width + 1)) AS place
+  FROM (SELECT form, explode((SELECT ws FROM shapes)) AS width FROM own) WHERE length(form) >= width),
 candidates AS (
-  SELECT DISTINCT p.name, p.form, p.turned, c.finding_id, c.form AS entry
-  FROM parts p JOIN cuts c ON substring(p.form, p.place, p.width) = c.s.segment AND p.width = length(c.s.segment)
-  WHERE abs(p.place - c.s.place) <= 4 AND abs(length(p.form) - length(c.form)) <= 2),
-measured AS (
-  SELECT *, levenshtein(form, entry, 4) AS d FROM candidates),
+  SELECT DISTINCT p.form, c.finding_id, c.form AS entry, c.s
+  FROM parts p JOIN cuts c ON substring(p.form, p.place, p.width) = c.c.segment AND p.width = length(c.c.segment)
+  WHERE abs(p.place - c.c.place) <= 2 * c.s AND abs(length(p.form) - length(c.form)) <= c.s),
+measured AS (SELECT *, levenshtein(form, entry, 4) AS d FROM candidates),
 letters AS (
-  SELECT *, CASE WHEN d > 2 THEN greatest(
+  SELECT *, CASE WHEN d > s THEN greatest(
       aggregate(transform(sequence(97, 122), a -> greatest(0, length(form) - length(replace(form, chr(a), '')) - length(entry) + length(replace(entry, chr(a), '')))), 0, (x, y) -> x + y),
       aggregate(transform(sequence(97, 122), a -> greatest(0, length(entry) - length(replace(entry, chr(a), '')) - length(form) + length(replace(form, chr(a), '')))), 0, (x, y) -> x + y)) ELSE 0 END AS other
-  FROM measured WHERE d BETWEEN 0 AND 4),
-slips AS (
-  SELECT name, finding_id, turned, CASE WHEN d <= 2 THEN d ELSE 2 END AS slips, d FROM letters
-  WHERE d <= 2 OR (d = 3 AND other <= 1) OR (d = 4 AND other = 0))
-SELECT name, min(struct(slips, d, turned, finding_id)).finding_id AS finding_id, 4 AS rank FROM slips GROUP BY name"""
+  FROM measured WHERE d BETWEEN 0 AND 2 * s)
+SELECT form, finding_id, CASE WHEN d = 2 AND array_contains({swaps_form}, entry) THEN 1 ELSE least(d, s) END AS slips, d FROM letters
+WHERE d <= s OR (other <= 2 * s - d AND (array_contains({swaps_form}, entry) OR (s = 2 AND (arrays_overlap({swaps_form}, {swaps_entry})
+  OR exists({swaps_form}, x -> levenshtein(x, entry, 1) >= 0) OR exists({swaps_entry}, x -> levenshtein(form, x, 1) >= 0)))))"""
 
 CHOSEN = """
-SELECT name, min(struct(rank, finding_id)).finding_id AS finding_id
-FROM (SELECT * FROM {settled} UNION ALL SELECT * FROM {slipped}) GROUP BY name"""
+WITH every AS (
+  SELECT * FROM {settled}
+  UNION ALL SELECT * FROM {equal}
+  UNION ALL SELECT p.name, p.n, 4, length(p.form), s.slips, s.d, p.turned, s.finding_id FROM {pieces} p JOIN {slipped} s ON p.form = s.form)
+SELECT name, min(struct(-n, rank, -letters, slips, d, turned, finding_id)).finding_id AS finding_id FROM every GROUP BY name"""
 
 RESULT = """
 WITH matched AS (SELECT c.id AS category_id, min(m.finding_id) AS finding_id FROM {categories} c JOIN {chosen} m ON c.name = m.name WHERE c.id IS NOT NULL GROUP BY c.id)
@@ -117,13 +139,13 @@ def map_values(spark: SparkSession, categories: DataFrame, reference: DataFrame,
     several names takes the smallest entry among them. An empty reference maps
     everything to 0.
     """
-    forms = cut(spark.sql(FORMS, categories=categories), "forms")
-    entries = cut(spark.sql(ENTRIES, reference=reference), "entries")
-    known = small(entries)
-    equal = spark.sql(EQUAL, forms=forms, entries=known)
-    begun = spark.sql(BEGUN.replace("{least}", str(int(least))), forms=forms, entries=known)
-    settled = cut(equal.union(begun), "settled")
-    open_ = forms.join(settled.select("name").distinct(), "name", "left_anti")
-    slipped = spark.sql(SLIPPED, forms=open_, entries=known)
-    chosen = cut(spark.sql(CHOSEN, settled=settled, slipped=slipped), "chosen")
+    words = cut(spark.sql(WORDS, categories=categories), "words")
+    entries = small(cut(spark.sql(ENTRIES, reference=reference), "entries"))
+    whole = spark.sql(WHOLE, words=words)
+    settled = cut(spark.sql(EQUAL, forms=whole, entries=entries).union(spark.sql(BEGUN.replace("{least}", str(int(least))), forms=whole, entries=entries)), "settled")
+    pieces = cut(spark.sql(PIECES, words=words, settled=settled, entries=entries, whole=whole), "pieces")
+    equal = spark.sql(EQUAL, forms=pieces, entries=entries)
+    slips = SLIPPED.replace("{parts}", spark.conf.get("spark.sql.shuffle.partitions")).replace("{swaps_form}", swaps_sql("form")).replace("{swaps_entry}", swaps_sql("entry"))
+    slipped = cut(spark.sql(slips, pieces=pieces, entries=entries), "slipped")
+    chosen = cut(spark.sql(CHOSEN, settled=settled, equal=equal, pieces=pieces, slipped=small(slipped)), "chosen")
     return spark.sql(RESULT, categories=categories.select("id", "name"), chosen=small(chosen))

@@ -56,6 +56,24 @@ def test_plans_hold_every_item_once(histogram, capacity):
     assert used == Counter(histogram)
 
 
+@pytest.mark.parametrize("capacity", [256, 1024, 8192, 32768])
+@pytest.mark.parametrize("kind", ["long tail", "even", "few"])
+def test_program_needs_no_more_than_best_fit(kind, capacity):
+    import time
+
+    rng = random.Random(2)
+    draw = {"long tail": lambda: max(1, int(rng.lognormvariate(5.5, 1.0))), "even": lambda: rng.randint(1, 999), "few": lambda: rng.choice([300, 420, 170, 90])}[kind]
+    sizes = Counter()
+    for s in (draw() for _ in range(20_000)):
+        sizes[capacity] += s // capacity
+        sizes[s % capacity] += 1
+    histogram = {s: n for s, n in sizes.items() if s and n}
+    began = time.time()
+    own = packing.plan(histogram, capacity)
+    assert time.time() - began < 10
+    assert sum(n for _, n in own) <= sum(n for _, n in packing.best_fit(histogram, capacity))
+
+
 def test_knapsack_is_optimal():
     import numpy as np
 
@@ -63,7 +81,7 @@ def test_knapsack_is_optimal():
     for _ in range(30):
         sizes = np.array(sorted(rng.sample(range(1, 15), 4)))
         price = np.array([rng.random() for _ in sizes])
-        found = packing.priced(20, sizes, price)
+        found = packing.filled(20, packing.priced(20, sizes, price)[1], dict.fromkeys(sizes.tolist(), 99), sizes.tolist())
         best = max(sum(n * p for n, p in zip(c, price)) for c in itertools.product(*[range(20 // s + 1) for s in sizes]) if sum(n * s for n, s in zip(c, sizes)) <= 20)
         assert sum(found[s] * p for s, p in zip(sizes.tolist(), price)) == pytest.approx(best)
 
