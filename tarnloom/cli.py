@@ -179,8 +179,11 @@ def do_export(c: Context, a: argparse.Namespace) -> None:
 def do_check(c: Context, a: argparse.Namespace) -> None:
     frame = checks.source_checks(c.catalog)
     if a.ref:
-        frame = checks.version_checks(reads.stored(c.catalog, c.store, *parse_ref(a.ref)), reads.stored(c.catalog, c.store, *parse_ref(a.other)) if a.other else None)
+        other = reads.stored(c.catalog, c.store, *parse_ref(a.other)) if a.other else None
+        frame = checks.version_checks(reads.stored(c.catalog, c.store, *parse_ref(a.ref)), other, c.store.table(*parse_ref(a.ref), "targets"))
     show(frame.orderBy("seq"))
+    for seq, name, n in checks.manifest_checks(c.store.versions()):
+        print(f"{seq}\t{name}\t{n}")
 
 
 def do_explore(c: Context, a: argparse.Namespace) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from ..functions.spread import small
+from ..functions.spread import listed
 from ..sources.catalog import Catalog
 from ..spec import Step
 from .base import Candidates, Result, decided
@@ -63,12 +63,12 @@ def winners(own: Candidates, rules: list[dict], catalog: Catalog) -> DataFrame:
         name = f"_w{i}"
         kind = rule["rule"]
         if kind == "manual":
-            wanted = small(catalog.spark.createDataFrame(list(enumerate(pooled)), "_ordinal int, ann_id long"))
+            wanted = listed(catalog.spark, list(enumerate(pooled)), "_ordinal int, ann_id long")
             hit = batches.select("image_id", "annotation_batch_id", F.explode("ann_ids").alias("ann_id")).join(wanted, "ann_id")
             found = hit.groupBy("image_id").agg(F.min_by("annotation_batch_id", "_ordinal").alias(name))
         elif kind == "annotator_precedence":
-            listed = F.array(*[F.lit(a) for a in rule["annotator_precedence"]])
-            places = F.transform(F.col("annotators"), lambda a: F.when(F.array_position(listed, a) > 0, F.array_position(listed, a)))
+            names = F.array(*[F.lit(a) for a in rule["annotator_precedence"]])
+            places = F.transform(F.col("annotators"), lambda a: F.when(F.array_position(names, a) > 0, F.array_position(names, a)))
             found = _unique_least(batches, F.array_min(places), name)
         elif kind == "batch_version_precedence":
             found = _unique_least(batches, _rank(rule["version_precedence"], F.col("batch_version")), name)

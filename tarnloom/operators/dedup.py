@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
+from ..functions.spread import listed
 from ..sources.catalog import Catalog
 from ..spec import Step
 from .base import Candidates, Result, dropped
@@ -19,6 +20,11 @@ def priority(sources: list[str]) -> Column:
     return out
 
 
+def pinned(images: DataFrame, keep: list[int]) -> DataFrame:
+    """``images`` with ``_pin``, 0 for the listed ids, else null."""
+    return images.join(listed(images.sparkSession, [(i, 0) for i in sorted(set(keep))], "image_id long, _pin int"), "image_id", "left")
+
+
 def survivors(own: Candidates, sources: list[str], keep: list[int], prefer_annotated: bool) -> DataFrame:
     """(image_id) of images that stay: one for each hash, all without a hash.
 
@@ -30,7 +36,8 @@ def survivors(own: Candidates, sources: list[str], keep: list[int], prefer_annot
         images = images.join(own.annotated().withColumn("_annotated", F.lit(0)), "image_id", "left")
     else:
         images = images.withColumn("_annotated", F.lit(0))
-    order = F.struct(F.when(F.col("image_id").isin(*keep), 0).otherwise(1).alias("pin") if keep else F.lit(1).alias("pin"), F.coalesce("_annotated", F.lit(1)).alias("bare"), priority(sources).alias("source"), F.col("image_id"))
+    images = pinned(images, keep).withColumn("_pin", F.coalesce("_pin", F.lit(1))) if keep else images.withColumn("_pin", F.lit(1))
+    order = F.struct(F.col("_pin").alias("pin"), F.coalesce("_annotated", F.lit(1)).alias("bare"), priority(sources).alias("source"), F.col("image_id"))
     best = images.where("blake3_hash is not null").groupBy("blake3_hash").agg(F.min(order).alias("o")).select(F.col("o.image_id").alias("image_id"))
     return best.union(images.where("blake3_hash is null").select("image_id"))
 
@@ -48,7 +55,7 @@ def dedup(catalog: Catalog, inputs: list[Candidates], step: Step) -> Result:
     """
     own = inputs[0]
     if step["keep"]:
-        pins = own.images.where(F.col("image_id").isin(*step["keep"]) & F.col("blake3_hash").isNotNull())
+        pins = pinned(own.images, step["keep"]).where("_pin = 0 and blake3_hash is not null")
         torn = pins.groupBy("blake3_hash").agg(F.sort_array(F.collect_list("image_id")).alias("ids")).where(F.size("ids") > 1).orderBy("blake3_hash").take(1)
         if torn:
             raise SpecError(f"step '{step.id}': images {', '.join(map(str, torn[0]['ids']))} have one content, so only one of them can be kept")
@@ -58,7 +65,7 @@ def dedup(catalog: Catalog, inputs: list[Candidates], step: Step) -> Result:
         found = groups(own)
         row = found.agg(F.count(F.lit(1)), F.count_if(F.col("sets") > 1), F.sum(F.col("members") - 1)).first()
         counts, before = after.counts(), own.counts()
-        manual = own.images.where(F.col("image_id").isin(*step["keep"])).join(found, "blake3_hash").select("blake3_hash").distinct().count() if step["keep"] else 0
+        manual = pinned(own.images, step["keep"]).where("_pin = 0").join(found, "blake3_hash").select("blake3_hash").distinct().count() if step["keep"] else 0
         return counts | {
             "images_before": before["images"],
             "duplicate_groups": row[0],

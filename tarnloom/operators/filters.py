@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SpecError
 from ..functions.predicate import compile_predicate
-from ..functions.spread import cut, ranked, small
+from ..functions.spread import cut, listed, ranked, scratch, small
 from ..sources.catalog import Catalog
 from ..sources.lists import names_frame
 from ..spec import Step
@@ -86,23 +86,29 @@ def balance(catalog: Catalog, own: Candidates, step: Step) -> Result:
     """At most max_per_class images of each class, as far as shared images allow.
 
     Classes come in turn, small ones first; each takes what is kept already and
-    fills up in the order of a seeded hash. Images without a class go. A turn
-    depends on the turns before, so there is one job for each class; the pool of
-    a turn is numbered over partitions and never sorted in one task.
+    fills up in the order of a seeded hash. Images without a class go. Classes of
+    at most that many images come first and are taken whole, all in one filter. A
+    turn of the others depends on the turns before, so each is a few jobs that write
+    what the turn adds; its pool is numbered over partitions and never sorted in
+    one task.
     """
     cap = step["max_per_class"]
     member = cut(classes_of(own, step["by"]).withColumn("_bucket", bucket(step["seed"], F.col("image_id").cast("string"), 1 << 32)), "classes")
     sizes = [(r[0], r[1]) for r in member.groupBy("class").count().orderBy("count", "class").collect()]  # the class vocabulary
     if not sizes:
         raise SpecError(f"step '{step.id}': no image has a class by {step['by']}")
-    kept = member.select("image_id").limit(0)
-    for name, size in sizes:
-        pool = member.where(F.col("class") == name)
-        if size > cap:
-            have = pool.join(kept, "image_id", "left_semi").count()
-            rest = pool.join(kept, "image_id", "left_anti")
-            pool = ranked(rest.select("image_id", "_bucket", F.lit(1).alias("_k")), "_k", ["_bucket", "image_id"], "_place").where(F.col("_place") < max(0, cap - have))
-        kept = cut(kept.union(pool.select("image_id")).distinct(), "kept")
+    folder = scratch(catalog.spark, "kept")
+    add = lambda ids, turn: ids.select("image_id").distinct().write.parquet(f"{folder}/turn={turn}")
+    so_far = lambda: catalog.spark.read.schema("image_id long").parquet(folder)
+    light = listed(catalog.spark, [(name,) for name, size in sizes if size <= cap], "class string")
+    add(member.join(light, "class", "left_semi"), 0)
+    for turn, (name, _) in enumerate([x for x in sizes if x[1] > cap], 1):
+        pool, kept = member.where(F.col("class") == name), so_far()
+        have = pool.join(kept, "image_id", "left_semi").count()
+        rest = pool.join(kept, "image_id", "left_anti")
+        if have < cap:
+            add(ranked(rest.select("image_id", "_bucket", F.lit(1).alias("_k")), "_k", ["_bucket", "image_id"], "_place").where(F.col("_place") < cap - have), turn)
+    kept = so_far().select("image_id")
     after = own.keep_images(kept)
     final = member.join(kept, "image_id", "left_semi").groupBy("class").count()
     over = [f"class {r[0]} has {r[1]} images, more than {cap}, through images shared with other classes" for r in final.where(F.col("count") > cap).orderBy("class").collect()]

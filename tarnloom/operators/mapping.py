@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from ..functions.spread import small
+from ..functions.spread import listed
 from ..sources.catalog import Catalog
 from ..spec import Step
 from .base import Candidates, Result, decided
@@ -25,7 +25,7 @@ def category_map(catalog: Catalog, inputs: list[Candidates], step: Step) -> Resu
     spark = catalog.spark
     present = own.used_categories()
     rows = [(scope, local, target) for scope, names in step["mapping"].items() for local, target in names.items()]
-    explicit = small(spark.createDataFrame(rows, "source string, category string, given string"))
+    explicit = listed(spark, rows, "source string, category string, given string")
     known = present.join(own.targets, "category_id", "left").join(explicit, ["source", "category"], "left")
     merged = F.coalesce("given", "target", F.col("category") if step["merge_identical"] else F.lit(None).cast("string"))
     resolved = known.select("category_id", "source", "category", F.col("target").alias("inherited"), merged.alias("target"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SpecError
-from ..functions.spread import small
+from ..functions.spread import listed
 from ..sources.catalog import Catalog
 from ..spec import Step
 from .base import DECISION, Candidates, Result
@@ -22,7 +22,7 @@ def manual_override(catalog: Catalog, inputs: list[Candidates], step: Step) -> R
         return Result(own, [], own.counts)
     image_ids = sorted({o["image_id"] for o in todo if o["image_id"] is not None})
     ann_ids = {k: sorted({o["annotation_id"] for o in todo if o["annotation_id"] is not None and o["annotation_kind"] == k}) for k in ("cls", "det")}
-    frame = lambda ids, name: small(spark.createDataFrame([(i,) for i in ids], f"{name} long"))
+    frame = lambda ids, name: listed(spark, [(i,) for i in ids], f"{name} long")
 
     # what the named records are, and whether they are in the set
     home: dict[str, dict[int, int]] = {}

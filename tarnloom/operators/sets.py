@@ -15,7 +15,10 @@ from .base import Candidates, Result, decided
 
 def merge_targets(inputs: list[Candidates], step: Step) -> DataFrame:
     """One target for each category; two different ones are an error."""
-    every = reduce(DataFrame.union, [c.targets for c in inputs]).distinct()
+    given = [c.targets for c in inputs if not c.targets.isEmpty()]
+    if len(given) < 2:
+        return given[0] if given else inputs[0].targets
+    every = reduce(DataFrame.union, given).distinct()
     torn = every.groupBy("category_id").agg(F.sort_array(F.collect_set("target")).alias("t")).where(F.size("t") > 1).orderBy("category_id").limit(5).collect()
     if torn:
         raise SpecError(f"step '{step.id}': categories with several targets: " + "; ".join(f"{r[0]}: {', '.join(r[1])}" for r in torn))

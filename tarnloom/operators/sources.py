@@ -15,23 +15,28 @@ MISSING_SHOWN = 200
 
 
 def _no_targets(catalog: Catalog) -> DataFrame:
-    return catalog.spark.createDataFrame([], TARGETS)
+    return catalog.nothing(TARGETS)
 
 
-def _around(catalog: Catalog, images: DataFrame, with_annotations: bool) -> Candidates:
+def _around(catalog: Catalog, images: DataFrame, ids: DataFrame, with_annotations: bool) -> Candidates:
     if with_annotations:
-        cls, det = catalog.covering("cls", images), catalog.covering("det", images)
+        cls, det = catalog.annotations("cls", on=ids), catalog.annotations("det", on=ids)
     else:
         cls, det = catalog.annotations("cls").limit(0), catalog.annotations("det").limit(0)
     return Candidates(images, cls, det, _no_targets(catalog))
 
 
+def image_batches(catalog: Catalog, batches: list[int], with_annotations: bool) -> Candidates:
+    """Whole image batches, with what labels their images have in any batch, in one scan."""
+    return _around(catalog, catalog.images(*batches), catalog.image_ids(*batches), with_annotations)
+
+
 def source(catalog: Catalog, inputs: list[Candidates], step: Step) -> Result:
     """A whole batch: an image batch with what labels its images have in any batch, or an
     annotation batch with the images it refers to."""
     if step["image_batch"] is not None:
         batch = catalog.batch_id("image", step["original_set"], step["image_batch"])
-        own = _around(catalog, catalog.images(batch), step["with_annotations"])
+        own = image_batches(catalog, [batch], step["with_annotations"])
     else:
         batch = catalog.batch_id("annotation", step["original_set"], step["annotation_batch"])
         cls, det = catalog.annotations("cls", batch), catalog.annotations("det", batch)
@@ -53,7 +58,7 @@ def import_list(catalog: Catalog, inputs: list[Candidates], step: Step) -> Resul
     images = every.join(names, "file_name", "left_semi")
     lost = names.join(every.select("file_name"), "file_name", "left_anti")
     warnings = missing(lost, step, f"{step['original_set']}@{step['image_batch']}")
-    own = _around(catalog, images, step["with_annotations"])
+    own = _around(catalog, images, images, step["with_annotations"])
 
     def stats() -> dict:
         return own.counts() | {"names": total, "repeated_names": repeats, "matched_count": names.join(every.select("file_name"), "file_name", "left_semi").count(), "missing_count": lost.count()}

@@ -2,15 +2,16 @@
 
 A version is a directory ``<root>/<name>/<version>`` with its tables, the
 specification, the notes and, written last, the manifest. Everything is written
-to a staging directory first; one rename that refuses an existing target makes
-it visible. A directory without a manifest does not exist for readers.
+to a staging directory first; who creates the version's claim, a file that can be
+created only once, moves it into place. A directory without a manifest does not
+exist for readers. A claim that a lost builder left behind is removed by
+``delete``, like a version.
 """
 
 from __future__ import annotations
 
 import datetime
 import getpass
-import hashlib
 import json
 import os
 import socket
@@ -18,6 +19,7 @@ import uuid
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,22 @@ class Store:
         spec = Spec.loads(stored)
         return spec, "ok" if spec.fingerprint() == m["spec_sha256"] else "modified"
 
+    def claim(self, name: str, version: str, author: str) -> bool:
+        """Whether this builder is the first to claim the version."""
+        try:
+            stream = self.fs.create(self._path(name, "_claims", version), False)
+        except Py4JJavaError:
+            return False
+        stream.write(bytearray(author.encode()))
+        stream.close()
+        return True
+
+    def claimed_by(self, name: str, version: str) -> str | None:
+        return self.read_text(name, "_claims", version)
+
+    def unclaim(self, name: str, version: str) -> None:
+        self.fs.delete(self._path(name, "_claims", version), False)
+
     def describe_deletion(self, name: str, version: str | None = None) -> list[dict[str, Any]]:
         doomed = [m for m in self.versions(name) if version in (None, m["version"])]
         if not doomed:
@@ -126,9 +144,13 @@ class Store:
     def delete(self, name: str, version: str | None = None) -> list[str]:
         """Removes a version or all of a set; the manifest goes first, so readers never see half."""
         gone = []
+        if version and self.manifest(name, version) is None and self.claimed_by(name, version) is not None:
+            self.unclaim(name, version)
+            return [f"the claim of {name}@{version}"]
         for d in self.describe_deletion(name, version):
             self.fs.delete(self._path(d["name"], d["version"], "manifest.json"), False)
             self.fs.delete(self._path(d["name"], d["version"]), True)
+            self.unclaim(d["name"], d["version"])
             gone.append(f"{d['name']}@{d['version']}")
         if not self.versions(name):
             self.fs.delete(self._path(name), True)
@@ -163,12 +185,12 @@ def build(catalog: Catalog, store: Store, spec: Spec, name: str, version: str, a
     target = store.at(name, version)
     if (there := store.manifest(name, version)) is not None:
         raise SpecError(f"{name}@{version} exists; it was built by {there['created_by']} at {there['created_at']}")
-    done = run(catalog, spec)
+    done = run(catalog, spec, keep_final=True)
     own = done.final
     check(own)
     if dry_run:
         return done, None
-    staging = f"_staging/{uuid.uuid4().hex}"
+    staging, mine, moved = f"_staging/{uuid.uuid4().hex}", False, False
     try:
         for part, frame in tables(own).items():
             ordered = frame if part == "targets" else frame.sortWithinPartitions(frame.columns[0])
@@ -188,16 +210,16 @@ def build(catalog: Catalog, store: Store, spec: Spec, name: str, version: str, a
         store.write_text(meta(manifest, own) if meta else note, staging, "__meta__.md")
         store.write_text(json.dumps(manifest, ensure_ascii=False, indent=1), staging, "manifest.json")
         store.fs.mkdirs(store._path(name))
-        moved = not store.fs.exists(store._path(name, version)) and store.fs.rename(store._path(*staging.split("/")), store._path(name, version))
+        mine = store.claim(name, version, author.name)
+        if mine and not store.fs.exists(store._path(name, version)):
+            moved = store.fs.rename(store._path(*staging.split("/")), store._path(name, version))
         if not moved:
-            winner = store.manifest(name, version) or {"created_by": "someone else"}
-            raise SpecError(f"{target} was just created by {winner['created_by']}")
+            winner = (store.manifest(name, version) or {}).get("created_by") or (not mine and store.claimed_by(name, version)) or "someone else"
+            raise SpecError(f"{target} was just created by {winner}")
     finally:
+        if mine and not moved:
+            store.unclaim(name, version)
         staged = store._path(*staging.split("/"))
         if store.fs.exists(staged):
             store.fs.delete(staged, True)
     return done, manifest
-
-
-def text_sha256(content: str) -> str:
-    return hashlib.sha256(content.encode()).hexdigest()

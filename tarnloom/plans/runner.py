@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from ..errors import SpecError
 from ..functions.spread import cut
 from ..operators import OPERATORS, Candidates, Result
 from ..operators.base import DECISION
+from ..operators.sources import image_batches
 from ..sources.catalog import Catalog
 from ..spec import Spec, Step
 
@@ -26,33 +28,108 @@ class Run:
 
     @property
     def warnings(self) -> list[str]:
-        return [f"{s.id}: {w}" for s in self.spec.steps for w in self.results[s.id].warnings]
+        return [f"{k}: {w}" for k in (s.id for s in self.spec.steps) if k in self.results for w in self.results[k].warnings]
 
 
 PARTS = ("images", "cls", "det", "targets")
+#: Steps that shuffle whole parts, steps that read their input many times, and steps that read it once.
+WIDE = {"union", "dedup", "conflict_resolve"}
+GREEDY = {"dedup", "conflict_resolve"}
+ONCE = {"union"}
 
 
-def step_result(catalog: Catalog, step: Step, inputs: list[Candidates]) -> Result:
-    """Applies a step and writes its candidate set to the shared folder.
+class Results(dict):
+    """Results by step; some are made when they are asked for."""
 
-    An operator uses its input several times and its checks run jobs, so without the cut
-    plans would multiply with every step. What is written is the narrow candidate set; parts
-    that an input already has are not written again, and the parts are written side by side.
+    def __init__(self):
+        super().__init__()
+        self.later: dict[str, Callable[[], Result]] = {}
+
+    def __missing__(self, key: str) -> Result:
+        self[key] = self.later[key]()
+        return self[key]
+
+
+def kind_of(step: Step) -> str:
+    return f"filter.{step['criterion']}" if step.op == "filter" else step.op
+
+
+def step_result(catalog: Catalog, step: Step, inputs: list[Candidates], write: bool = True) -> Result:
+    """Applies a step; with ``write``, its candidate set goes to the shared folder.
+
+    What is written is the narrow candidate set; parts that an input already has, and
+    detections where the catalog has none, are not written, and the parts are written
+    side by side.
     """
     result = OPERATORS[step.op](catalog, inputs, step)
     own = result.candidates
-    known = {id(getattr(i, p)) for i in inputs for p in PARTS}
+    if "det_annotations" not in catalog.tables:
+        own = own.with_(det=_no_boxes(catalog))
+    result.candidates = own
+    return cut_result(catalog, result, inputs) if write else result
+
+
+def _no_boxes(catalog: Catalog) -> DataFrame:
+    kinds = dict(catalog.annotations("det").dtypes)
+    return catalog.nothing(", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
+def cut_result(catalog: Catalog, result: Result, inputs: list[Candidates] = ()) -> Result:
+    own = result.candidates
+    known = {id(f) for f in [*catalog._nothing.values(), *(getattr(i, p) for i in inputs for p in PARTS)]}
+    todo = [p for p in PARTS if id(getattr(own, p)) not in known]
     with ThreadPoolExecutor(len(PARTS)) as pool:
-        cuts = {p: pool.submit(cut, getattr(own, p), p) for p in PARTS if id(getattr(own, p)) not in known}
+        cuts = {p: pool.submit(cut, getattr(own, p), p) for p in todo}
     result.candidates = own.with_(**{p: f.result() for p, f in cuts.items()})
     return result
 
 
-def run(catalog: Catalog, spec: Spec) -> Run:
-    """All declared steps in order, also those that ``final`` does not reach: their errors count."""
-    results: dict[str, Result] = {}
+def written(spec: Spec) -> set[str]:
+    """Steps whose candidate sets are written: those that several steps use, those that a step
+    reads many times, and shuffled ones that are read more than once. Others stay lazy, so
+    their filters reach the scans."""
+    users: dict[str, list[Step]] = {s.id: [] for s in spec.steps}
+    for s in spec.steps:
+        for i in s.inputs:
+            users[i].append(s)
+    out = set()
+    for s in spec.steps:
+        own = users[s.id]
+        many = len(own) > 1 or any(u.op in GREEDY or kind_of(u) == "filter.balance" for u in own)
+        if many or (s.op in WIDE and any(u.op not in ONCE for u in own)):
+            out.add(s.id)
+    return out
+
+
+def fused(catalog: Catalog, spec: Spec) -> dict[str, list[int]]:
+    """Unions of whole image batches that nothing else uses, with the ids of the batches: one
+    scan instead of one for each batch. The batches must exist and be different."""
+    by = {s.id: s for s in spec.steps}
+    used = [i for s in spec.steps for i in s.inputs] + [spec.final]
+    out = {}
+    for s in spec.steps:
+        given = [by[i] for i in s.inputs]
+        if s.op == "union" and all(g.op == "source" and g["image_batch"] is not None and g["with_annotations"] == given[0]["with_annotations"] and used.count(g.id) == 1 for g in given):
+            out[s.id] = [catalog.batch_id("image", g["original_set"], g["image_batch"]) for g in given]
+    return out
+
+
+def run(catalog: Catalog, spec: Spec, keep_final: bool = False) -> Run:
+    """All declared steps in order, also those that ``final`` does not reach: their errors count.
+    With ``keep_final`` the final set is written as well, for callers that read it often."""
+    results, kept, whole = Results(), written(spec), fused(catalog, spec)
+    leaves = {i for s in spec.steps if s.id in whole for i in s.inputs}
+    if keep_final:
+        kept.add(spec.final)
     for s in spec.steps:
-        results[s.id] = step_result(catalog, s, [results[i].candidates for i in s.inputs])
+        if s.id in leaves:
+            results.later[s.id] = lambda s=s: step_result(catalog, s, [], write=False)
+        elif s.id in whole:
+            own = image_batches(catalog, whole[s.id], next(x for x in spec.steps if x.id == s.inputs[0])["with_annotations"])
+            result = Result(own, [], lambda s=s: OPERATORS["union"](catalog, [results[i].candidates for i in s.inputs], s).stats)
+            results[s.id] = cut_result(catalog, result) if s.id in kept else result
+        else:
+            results[s.id] = step_result(catalog, s, [results[i].candidates for i in s.inputs], s.id in kept)
     return Run(spec, results)
 
 
@@ -77,7 +154,7 @@ def explain(done: Run, image_id: int) -> DataFrame:
     """
     spark = done.final.images.sparkSession
     trail = spark.createDataFrame([], f"n int, step string, op string, {DECISION}")
-    every = [r.candidates for r in done.results.values()]
+    every = [done.results[s.id].candidates for s in done.spec.steps]
     own = {k: [getattr(c, k).where(F.col("image_id") == image_id) for c in every] for k in ("cls", "det")}
     cats = None
     for frames in own.values():

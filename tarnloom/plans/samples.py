@@ -46,7 +46,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def whole(c: Catalog, by: str | None = None) -> Candidates:
     """Everything; ``by`` name or supercategory gives targets."""
-    own = Candidates(c.images(), c.annotations("cls"), c.annotations("det"), c.spark.createDataFrame([], TARGETS))
+    own = Candidates(c.images(), c.annotations("cls"), c.annotations("det"), c.nothing(TARGETS))
     if by:
         column = F.col("category") if by == "name" else F.lower(F.coalesce("supercategory", F.lit("none")))
         own = own.with_(targets=c.categories.select("category_id", column.alias("target")))
@@ -79,7 +79,8 @@ def query(sql: str | None):
     def add(f: Callable[[Catalog], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(catalog(spark, sf_dir))
         if sql is not None:
-            SQL[f.__name__] = f"WITH {BASE}{',' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"
+            head, rest = ("WITH RECURSIVE", "," + sql[14:]) if sql.startswith("WITH RECURSIVE ") else ("WITH", "," + sql[5:] if sql.startswith("WITH ") else " " + sql)
+            SQL[f.__name__] = f"{head} {BASE}{rest}"
         return f
 
     return add
@@ -190,7 +191,18 @@ def filter_explicit_list(c):
     return apply(c, whole(c), "filter", criterion="explicit_list", file_names=LISTED, on_missing="ignore").images.select("image_id")
 
 
-@query(None)
+@query("""WITH RECURSIVE member AS (SELECT image_id, family, ('0x' || substr(sha256('even' || chr(0) || image_id), 1, 16))::UBIGINT % 4294967296 AS bucket FROM (SELECT DISTINCT image_id, family FROM an WHERE image_id IN (SELECT image_id FROM im))),
+sizes AS (SELECT family, count(*) AS n, row_number() OVER (ORDER BY count(*), family) AS turn FROM member GROUP BY family),
+turns AS (SELECT turn, n, image_id, bucket FROM member JOIN sizes USING (family)),
+step AS (
+  SELECT 0::BIGINT AS turn, []::BIGINT[] AS kept
+  UNION ALL
+  SELECT step.turn + 1, list_concat(kept, (SELECT coalesce(list(image_id), []) FROM (
+      SELECT t.image_id, row_number() OVER (ORDER BY t.bucket, t.image_id) AS place, t.n,
+        (SELECT count(*) FROM turns u WHERE u.turn = step.turn + 1 AND list_contains(kept, u.image_id)) AS have
+      FROM turns t WHERE t.turn = step.turn + 1 AND NOT list_contains(kept, t.image_id)) WHERE n <= 2000 OR place + have <= 2000))
+  FROM step WHERE step.turn < (SELECT max(turn) FROM sizes))
+SELECT DISTINCT unnest(kept) AS image_id FROM step""")
 def filter_balance(c):
     return apply(c, whole(c, "family"), "filter", criterion="balance", max_per_class=2000, seed="even").images.select("image_id")
 
@@ -441,10 +453,10 @@ def lineage_pairs(c):
 # exports and checks
 
 
-@query("""SELECT im.image_id, original_set || '/images/' || batch_version || '/' || file_name AS object_key, width, height, subject_id, blake3_hash, coalesce(l, '') AS labels, 0::BIGINT AS n_boxes
+@query("""SELECT im.image_id, original_set || '/images/' || batch_version || '/' || file_name AS object_key, original_set, batch_version, file_name, width, height, subject_id, date_captured, blake3_hash, coalesce(l, '') AS labels, 0::BIGINT AS n_boxes
   FROM im LEFT JOIN (SELECT image_id, array_to_string(list_sort(list(family)), '|') AS l FROM an GROUP BY 1) USING (image_id)""")
 def export_manifest(c):
-    return sinks.manifest(whole(c, "family")).drop("original_set", "batch_version", "file_name", "date_captured")
+    return sinks.manifest(whole(c, "family"))
 
 
 @query("""WITH n AS (SELECT family, row_number() OVER (ORDER BY family) AS number FROM (SELECT DISTINCT family FROM an))
@@ -456,7 +468,7 @@ def export_coco_labels(c):
 @query("""SELECT 1 AS seq, count(*) AS violations FROM im WHERE NOT coalesce(width > 0 AND height > 0, false)
 UNION ALL SELECT 3, count(*) FROM (SELECT 1 FROM im GROUP BY image_batch_id, file_name HAVING count(*) > 1)
 UNION ALL SELECT 5, count(*) FROM cls_annotations WHERE image_id NOT IN (SELECT id FROM images)
-UNION ALL SELECT 7, count(*) FROM (SELECT 1 FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id HAVING count(DISTINCT id) > 1)
+UNION ALL SELECT 7, coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(DISTINCT id) AS n FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id, score)
 UNION ALL SELECT 9, count(*) FROM categories WHERE id NOT IN (SELECT category_id FROM cls_annotations)
 UNION ALL SELECT 10, count(*) FROM (SELECT 1 FROM categories GROUP BY annotation_batch_id, name HAVING count(*) > 1)""")
 def integrity_checks(c):
@@ -469,7 +481,7 @@ UNION ALL SELECT 3, count(*) FROM (SELECT 1 FROM im GROUP BY image_batch_id, fil
 UNION ALL SELECT 4, count(*) FROM images i WHERE NOT EXISTS (SELECT 1 FROM batches b WHERE b.batch_kind = 'image' AND b.batch_id = i.image_batch_id)
 UNION ALL SELECT 5, count(*) FROM cls_annotations WHERE image_id NOT IN (SELECT id FROM images)
 UNION ALL SELECT 6, count(*) FROM cls_annotations l WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.id = l.category_id AND c.annotation_batch_id = l.annotation_batch_id)
-UNION ALL SELECT 7, count(*) FROM (SELECT 1 FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id HAVING count(DISTINCT id) > 1)
+UNION ALL SELECT 7, coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(DISTINCT id) AS n FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id, score)
 UNION ALL SELECT 8, 0
 UNION ALL SELECT 9, count(*) FROM categories WHERE id NOT IN (SELECT category_id FROM cls_annotations)
 UNION ALL SELECT 10, count(*) FROM (SELECT 1 FROM categories GROUP BY annotation_batch_id, name HAVING count(*) > 1)
@@ -479,6 +491,21 @@ def integrity_checks_all(c):
     return checks.source_checks(c).select("seq", "violations")
 
 
+@split_query("""SELECT 1 AS seq, count(DISTINCT subject_id) AS violations FROM a WHERE subject_id <> '' AND subject_id IN (SELECT subject_id FROM b)
+UNION ALL SELECT 2, count(DISTINCT blake3_hash) FROM a WHERE blake3_hash IN (SELECT blake3_hash FROM b)
+UNION ALL SELECT 3, count(*) FROM (SELECT 1 FROM an WHERE image_id IN (SELECT image_id FROM a) GROUP BY image_id, family HAVING count(*) > 1)
+UNION ALL SELECT 4, 0
+UNION ALL SELECT 5, count(*) FROM (SELECT 1 FROM a WHERE blake3_hash IS NOT NULL GROUP BY blake3_hash HAVING count(*) > 1)
+UNION ALL SELECT 6, count(*) FROM (SELECT DISTINCT lower(coalesce(supercategory, 'none')) AS f FROM categories) WHERE f NOT IN (SELECT family FROM an WHERE image_id IN (SELECT image_id FROM a) AND family IS NOT NULL)
+UNION ALL SELECT 7, 0
+UNION ALL SELECT 11, count(*) FROM a WHERE image_id NOT IN (SELECT image_id FROM an)
+UNION ALL SELECT 14, 0""")
+def integrity_checks_split(c, d):
+    own = whole(c, "family")
+    left, right = (own.keep_images(_split(c, d, v)) for v in (101, 102))
+    return checks.version_checks(left, right).select("seq", "violations")
+
+
 # a whole specification
 
 PIPELINE = Spec.parse(

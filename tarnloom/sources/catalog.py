@@ -28,6 +28,7 @@ SCHEMAS: dict[str, str] = {
     "import_lists": "sha256 string, file_names array<string>, source_note string, created_at timestamp",
 }
 IMAGE = ("image_id", "image_batch_id", "original_set", "batch_version", "file_name", "width", "height", "blake3_hash", "date_captured", "subject_id", "license_id")
+HELD_BATCHES = 100_000
 ANNOTATION = ("ann_id", "annotation_batch_id", "image_id", "category_id", "score", "annotator", "category", "original_set", "batch_version", "source")
 
 
@@ -37,6 +38,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
         self.spark = spark
         self.tables = tables
+        self._nothing: dict[str, DataFrame] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> Catalog:
@@ -56,7 +58,14 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
-        return self.spark.createDataFrame([], T.StructType.fromDDL(SCHEMAS[name]))
+        return self.nothing(SCHEMAS[name])
+
+    def nothing(self, schema: str) -> DataFrame:
+        """No rows, in a form that the optimiser sees through: joins with it fall away."""
+        if schema not in self._nothing:
+            fields = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in T.StructType.fromDDL(schema))
+            self._nothing[schema] = self.spark.sql(f"SELECT {fields} WHERE false")
+        return self._nothing[schema]
 
     # dimensions
 
@@ -64,7 +73,19 @@ class Catalog:
         rows = self.table("batches").where(F.col("batch_kind") == kind)
         return rows.groupBy("batch_id").agg(F.max(F.struct("created_at", "original_set_name", "version")).alias("b")).select("batch_id", F.col("b.original_set_name").alias("original_set"), F.col("b.version").alias("batch_version"), "b.created_at")
 
+    @cached_property
+    def _numbers(self) -> dict[tuple[str, str, str], int] | None:
+        """Batch ids by (kind, set, version), the smallest of each; None if they are too many to hold."""
+        rows = []
+        for kind in ("image", "annotation"):
+            rows += [(kind, *r) for r in self.batches(kind).select("original_set", "batch_version", "batch_id").limit(HELD_BATCHES + 1).collect()]
+        return {r[:3]: r[3] for r in sorted(rows, key=lambda r: -r[3])} if len(rows) <= HELD_BATCHES else None
+
     def batch_id(self, kind: str, original_set: str, version: str) -> int:
+        if self._numbers is not None:
+            if (found := self._numbers.get((kind, original_set, version))) is None:
+                raise SpecError(f"no {kind} batch {original_set}@{version}")
+            return found
         row = self.batches(kind).where((F.col("original_set") == original_set) & (F.col("batch_version") == version)).select("batch_id").orderBy("batch_id").first()
         if row is None:
             raise SpecError(f"no {kind} batch {original_set}@{version}")
@@ -97,25 +118,28 @@ class Catalog:
 
     # facts
 
-    def images(self, batch: int | None = None) -> DataFrame:
-        """Images with their batch, set and subject; of one batch if given."""
+    def image_ids(self, *batches: int) -> DataFrame:
+        """(image_id) of batches."""
+        return self.table("images").where(F.col("image_batch_id").isin(*batches)).select(F.col("id").alias("image_id"))
+
+    def images(self, *batches: int) -> DataFrame:
+        """Images with their batch, set and subject; of some batches if given."""
         own = self.table("images")
-        if batch is not None:
-            own = own.where(F.col("image_batch_id") == batch)
+        if batches:
+            own = own.where(F.col("image_batch_id").isin(*batches))
         own = own.select(F.col("id").alias("image_id"), "image_batch_id", "file_name", "width", "height", "blake3_hash", "date_captured", "license_id")
         people = self.table("image_subjects").groupBy("image_id").agg(F.min("subject_id").alias("subject_id"))
         return own.join(self._image_batches, "image_batch_id").join(people, "image_id", "left").select(*IMAGE)
 
-    def annotations(self, kind: str, batch: int | None = None) -> DataFrame:
-        """Annotations with annotator, category and batch; rows delivered twice count once."""
+    def annotations(self, kind: str, batch: int | None = None, on: DataFrame | None = None) -> DataFrame:
+        """Annotations with annotator, category and batch, of one batch or on some images if
+        given; rows delivered twice count once."""
         own = self.table(f"{kind}_annotations")
+        if on is not None:  # before anything is shuffled by id
+            own = own.join(on.select("image_id"), "image_id", "left_semi")
         if batch is not None:
             own = own.where(F.col("annotation_batch_id") == batch)
         extra = ["bbox", "segmentation", "iscrowd"] if kind == "det" else []
         own = own.withColumnRenamed("id", "ann_id").dropDuplicates(["ann_id"])
         joined = own.join(self._annotators, "annotator_id", "left").join(self._annotation_batches, "annotation_batch_id").join(self._category_names, "category_id", "left")
         return joined.withColumn("source", F.concat_ws("@", "original_set", "batch_version")).select(*ANNOTATION, *extra)
-
-    def covering(self, kind: str, images: DataFrame) -> DataFrame:
-        """The annotations of all batches on the given images."""
-        return self.annotations(kind).join(images.select("image_id"), "image_id", "left_semi")

@@ -53,12 +53,11 @@ def browse(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(catalog: Catalog, prefix: str) -> list[str]:
-    """The list of a hash, or of a prefix that only one of the 500 newest lists has."""
+    """The list of a hash, or of a prefix that only one list has."""
     lists = catalog.table("import_lists")
     rows = lists.where(F.col("sha256") == prefix).take(1)
-    if not rows:
-        newest = lists.orderBy(F.col("created_at").desc()).limit(500)
-        rows = newest.where(F.col("sha256").startswith(prefix)).take(2) if prefix else []
+    if not rows and prefix:
+        rows = lists.where(F.col("sha256").startswith(prefix)).dropDuplicates(["sha256"]).take(2)
     if len(rows) != 1:
         raise SpecError(f"list {prefix!r} is {'ambiguous' if rows else 'not registered; register it with `lists add`'}")
     return list(rows[0]["file_names"])

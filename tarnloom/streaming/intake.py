@@ -25,7 +25,9 @@ def follow(spark: SparkSession, folder: str, target: str, checkpoint: str, table
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             taken = batch.sparkSession.read.schema("id long, intake long").parquet(target).where(F.col("intake") < number)
             new = new.join(taken.select("id"), "id", "left_anti").select(batch.columns)
-        clean = new.withColumn("score", F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(0.0)))
+        score = F.when(~F.isnan("score"), F.col("score"))
+        # a box without a score has none; a classification without one says nothing for its category
+        clean = new.withColumn("score", score if table == "det_annotations" else F.coalesce(score, F.lit(0.0)))
         clean.write.mode("overwrite").parquet(f"{target}/intake={number}")
 
     writer = fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
