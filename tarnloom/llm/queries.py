@@ -153,7 +153,7 @@ every AS (
   UNION ALL SELECT name, n, 2, length(f.form), 0, 0, 0, e.finding_id FROM pieces f JOIN entries e ON f.form = e.short WHERE turned = 0 AND e.short <> ''
   UNION ALL SELECT name, n, 3, length(f.form), 0, 0, 0, b.finding_id FROM whole f JOIN begun b ON f.form = b.form WHERE turned = 0
   UNION ALL SELECT name, n, 4, length(f.form), damerau_levenshtein(f.form, e.form), levenshtein(f.form, e.form), turned, e.finding_id FROM pieces f JOIN entries e
-    ON abs(length(f.form) - length(e.form)) <= least(2, length(e.form) // 3) AND damerau_levenshtein(f.form, e.form) <= least(2, length(e.form) // 3)),
+    ON abs(length(f.form) - length(e.form)) <= 2 AND damerau_levenshtein(f.form, e.form) <= least(2, least(length(f.form), length(e.form)) // 3)),
 meant AS (SELECT name, arg_min(finding_id, (-n, rank, -letters, slips, d, turned, finding_id)) AS finding_id FROM every GROUP BY name)
 SELECT c.id AS category_id, coalesce(min(m.finding_id), 0) AS finding_id FROM categories c LEFT JOIN meant m USING (name) WHERE c.id IS NOT NULL GROUP BY c.id"""
 

@@ -5,7 +5,7 @@ characters and bracketed remarks away, then everything but letters. Words in a
 row, written together, are its pieces; the whole value is the longest one, and
 once more with its first word put behind. A piece means the entry whose name or
 abbreviation it is, or the closest entry within the slips of the pen that the
-entry's length allows: one for each three letters, two at most, where a slip is
+lengths of both allow: one for each three letters, two at most, where a slip is
 one letter more, less, other or two neighbours swapped. A whole value that is a
 beginning, of at least LEAST letters, of one entry only means that entry (a
 cut-off name). The piece of most words, then of most letters, that means
@@ -104,9 +104,9 @@ parts AS (
   SELECT form, width, explode(sequence(1, length(form) - width + 1)) AS place
   FROM (SELECT form, explode((SELECT ws FROM shapes)) AS width FROM own) WHERE length(form) >= width),
 candidates AS (
-  SELECT DISTINCT p.form, c.finding_id, c.form AS entry, c.s
+  SELECT DISTINCT p.form, c.finding_id, c.form AS entry, least(c.s, CAST(length(p.form) div 3 AS INT)) AS s
   FROM parts p JOIN cuts c ON substring(p.form, p.place, p.width) = c.c.segment AND p.width = length(c.c.segment)
-  WHERE abs(p.place - c.c.place) <= 2 * c.s AND abs(length(p.form) - length(c.form)) <= c.s),
+  WHERE abs(p.place - c.c.place) <= 2 * c.s AND abs(length(p.form) - length(c.form)) <= least(c.s, length(p.form) div 3)),
 measured AS (SELECT *, levenshtein(form, entry, 4) AS d FROM candidates),
 letters AS (
   SELECT *, CASE WHEN d > s THEN greatest(

@@ -236,7 +236,7 @@ def test_short_names_and_any_qualifier(spark, frame):
     """Slips by length, in entries of any length; words around a name qualify it."""
     reference = frame([(1, "Rib", "RB"), (2, "Cyst", None), (3, "Edema", "EDM"), (4, "Lung Edema", None), (5, "Ox", "")], "finding_id long, name string, abbrev string")
     names = {
-        "rbi": 1, "ribs": 1, "rub": 1, "ruby": 0, "cysts": 2, "cyts": 2, "cist": 2, "crusts": 0, "edme": 0, "edmea": 3, "oedema": 3, "oedama": 0, "EDM": 3, "EDN": 0, "ox": 5, "oxx": 0,
+        "rbi": 1, "ribs": 1, "rub": 1, "ruby": 0, "cysts": 2, "cyts": 2, "cist": 2, "crusts": 0, "edme": 0, "edmea": 3, "oedema": 3, "oedama": 0, "eda": 0, "EDM": 3, "EDN": 0, "ox": 5, "oxx": 0,
         "questionable edema, third review": 3, "possibly lung edema of the lower lobes": 4, "some lnug edema": 4, "edema lung": 4, "a cyst (not edema)": 2, "nothing of that kind": 0,
     }
     categories = frame([(i, 1, n, None) for i, n in enumerate(names)], "id long, annotation_batch_id long, name string, supercategory string")
