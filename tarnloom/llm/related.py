@@ -29,27 +29,36 @@ BINS = 200
 BLOCK = 50_000
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, root): connected components of (a, b), root the smallest node.
 
     Large-star and small-star rounds until the edges stay the same; every round
-    is cut, so a lost executor costs one round at most.
+    is cut, so a lost executor costs one round at most. A node with many edges, as
+    every root of a large component becomes, is cut into blocks of them.
     """
     own = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    number = own.count()
     mark = None
     while True:
+        # no node can have more than a block of edges where there are no more in all
+        hot = 2 * number > block
+        kept = cut if hot else lambda df, name: df
+
+        def with_least(rows: DataFrame, least: DataFrame, hot: bool = hot) -> DataFrame:
+            return salted_join(least.select("a", "m"), rows, ["a"], least.select("a", "n"), block) if hot else rows.join(least.select("a", "m"), "a")
+
         both = own.union(own.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
+        low = kept(both.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "_m").alias("m"), "n"), "low")
+        large = with_least(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = kept(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "down")
+        least = kept(down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        joined = with_least(down, least)
         small_star = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         own = cut(small_star.where("a <> b").distinct(), "edges")
         now = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return own.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-        mark = now
+        mark, number = now, now[0]
 
 
 def _subjects(subjects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,7 +87,7 @@ def groups(subjects: DataFrame, lineage: DataFrame, block: int = BLOCK) -> DataF
     known = salted_join(reps.select("subject", "rep"), ends.where("subject is not null"), ["subject"], reps.select("subject", "n"), block).select("image_id", F.col("rep").alias("node"))
     nodes = cut(known.union(ends.where("subject is null").select("image_id", F.col("image_id").alias("node"))), "nodes")
     lifted = edges.join(nodes.select(F.col("image_id").alias("parent_image_id"), F.col("node").alias("a")), "parent_image_id").join(nodes.select(F.col("image_id").alias("child_image_id"), F.col("node").alias("b")), "child_image_id")
-    parts = stars(lifted.select("a", "b").union(extra))
+    parts = stars(lifted.select("a", "b").union(extra), block)
     # roots of subjects and of images without one
     rooted = reps.join(parts, reps.rep == parts.node, "left").select("subject", "n", F.coalesce("root", "rep").alias("root"))
     alone = nodes.where("image_id = node").select("image_id").join(own.select("image_id"), "image_id", "left_anti").join(parts, F.col("image_id") == F.col("node"), "left").select("image_id", F.coalesce("root", "image_id").alias("root"))
@@ -107,8 +116,10 @@ def level(weights: list[int], size: int, count: int) -> list[int]:
 def difference(sizes: dict[int, int], bins: int) -> list[Counter]:
     """Largest differencing: ``bins`` counters size -> components with nearly equal weights.
 
-    What each size has beyond full rounds of the bins is differenced; the full
-    rounds, large sizes first, then level the bins.
+    What each size has beyond full rounds of the bins is differenced. A full round of
+    one size, combined with itself, leaves no difference, and onto a partition with
+    one it goes where differencing puts single components, on the lightest bins; so
+    full rounds, large sizes first, are dealt all at once where they level the bins.
     """
     heap, number = [], 0
     for s in sorted(sizes):
