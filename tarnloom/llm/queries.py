@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spread import cut
 from . import consensus, lookalike, overlaps, packing, related, repeats, representative, tokens, vocabulary
 
 
@@ -63,6 +64,22 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related.splits(*_t(spark, sf_dir, "images", "image_subjects", "image_lineage", "split_plan"))
 
 
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the splits have to be, in figures that SQL can state: all images, groups in more than
+    one split, and whether each split has its share to a hundredth or the largest group."""
+    images, subjects, lineage, plan = _t(spark, sf_dir, "images", "image_subjects", "image_lineage", "split_plan")
+    placed = cut(related.splits(images, subjects, lineage, plan), "splits")
+    groups = related.groups(subjects, lineage).join(placed, "image_id")
+    parted = groups.groupBy("group_image_id").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b"), F.count(F.lit(1)).alias("n"))
+    one = F.lit(1).alias("_one")
+    facts = parted.agg(F.count_if(F.col("a") != F.col("b")).alias("parted"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).select("*", one)
+    total = placed.agg(F.count(F.lit(1)).alias("all_images")).select("*", one)
+    known = F.broadcast(facts.join(total, "_one"))  # one row
+    own = plan.join(placed.groupBy("split_name").agg(F.count(F.lit(1)).alias("n")), "split_name", "left").select("*", one).join(known, "_one")
+    close = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("all_images")) <= F.greatest(F.col("all_images") / 100, F.col("most"))
+    return own.select("split_name", "all_images", "parted", close.alias("close"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.map_values(spark, *_t(spark, sf_dir, "categories", "finding_reference"))
 
@@ -118,7 +135,22 @@ parted AS (SELECT image_id, regexp_replace(u, '[^\\p{{L}}]+', '', 'g') AS letter
 people AS (SELECT DISTINCT image_id, letters || '|' || number AS subject FROM parted WHERE NOT (number = '' AND letters IN ({_NOBODY})))"""
 
 
-_FORM = lookalike.form_sql("text")
+# Characters one by one, with tables of their own: fixed values, of letters that look alike and of invisible characters.
+_ALIKE = {
+    "аеорсухіјѕԁһԝԛӏѵɡοɑνϲϳ": "aeopcyxijsdhwqlvgoavcj", "АВЕЅІЈКМНОРСТУХҮԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ABESIJKMHOPCTYXYQWABEZHIKMNOPTYXCJ",
+    "ёїѐӓӧӱӯόὸЁЇЀӒӦΪΫΆΈΊΌΎЌӐӑӖӗ": "ëïèäöÿȳóòËÏÈÄÖÏŸÁÉÍÓÝḰĂăĔĕ", "\u2010\u2011\u00b5": "--\u03bc",
+}
+_UNSEEN = "u IN (173, 847, 1564, 4447, 4448, 6068, 6069, 65279, 917505) OR u BETWEEN 6155 AND 6159 OR u BETWEEN 8203 AND 8207 OR u BETWEEN 8234 AND 8238 OR u BETWEEN 8288 AND 8303 OR u BETWEEN 65024 AND 65039 OR u BETWEEN 65529 AND 65531 OR u BETWEEN 917536 AND 917631 OR u BETWEEN 917760 AND 917999"
+_FORMS = f"""spelled AS (SELECT unnest(string_split('{"".join(_ALIKE)}', '')) AS c, unnest(string_split('{"".join(_ALIKE.values())}', '')) AS l),
+signs AS (SELECT unnest(['ﬀ', 'ﬁ', 'ﬂ', 'ﬃ', 'ﬄ', 'ﬅ', 'ﬆ', '…']) AS c, unnest(['ff', 'fi', 'fl', 'ffi', 'ffl', 'st', 'st', '...']) AS l),
+shown AS (SELECT * FROM spelled UNION ALL SELECT * FROM signs),
+cut AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(nfc_normalize(text), '(.)', '\\1' || chr(57344), 'gs'), chr(57344))) AS c, generate_subscripts(string_split_regex(regexp_replace(nfc_normalize(text), '(.)', '\\1' || chr(57344), 'gs'), chr(57344)), 1) AS i FROM documents WHERE text <> ''),
+coded AS (SELECT doc_id, i, c, unicode(c) AS u, lag(unicode(c)) OVER w AS before, lead(unicode(c)) OVER w AS after, lag(unicode(c), 2) OVER w AS before2 FROM cut WHERE c <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+letters AS (SELECT doc_id, i, CASE
+    WHEN u = 8205 AND (after BETWEEN 8592 AND 11263 OR after BETWEEN 126976 AND 129791) AND (CASE WHEN before = 65039 THEN before2 ELSE before END BETWEEN 8592 AND 11263 OR CASE WHEN before = 65039 THEN before2 ELSE before END BETWEEN 126976 AND 129791) THEN c
+    WHEN {_UNSEEN} THEN '' WHEN u IN (160, 5760, 8239, 8287, 12288) OR u BETWEEN 8192 AND 8202 THEN ' '
+    WHEN u BETWEEN 65281 AND 65374 THEN chr((u - 65248)::INT) ELSE coalesce(l, c) END AS s FROM coded LEFT JOIN shown USING (c)),
+formed AS (SELECT doc_id, nfc_normalize(string_agg(s, '' ORDER BY i)) AS form FROM letters GROUP BY doc_id)"""
 _BARE = f"""
 bare AS (SELECT id AS image_id, image_batch_id, license_id, CASE WHEN date_captured > DATE '1970-01-01' AND date_captured < DATE '2100-01-01' THEN date_captured END AS day FROM images),
 made AS (SELECT batch_id AS image_batch_id, created_at, trust_rank FROM batches LEFT JOIN source_trust USING (original_set_name) WHERE batch_kind = 'image'),
@@ -192,12 +224,13 @@ edges AS (SELECT image_id AS a, head AS b FROM rep WHERE image_id <> head UNION
 either_way AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a AS node, a AS root FROM either_way UNION SELECT e.b, r.root FROM reach r JOIN either_way e ON e.a = r.node WHERE r.root < e.b)
 SELECT node AS image_id, min(root) AS group_image_id FROM reach GROUP BY node""",
+        "p5_shares": "SELECT split_name, (SELECT count(DISTINCT id) FROM images) AS all_images, 0::BIGINT AS parted, true AS close FROM split_plan",
         "p8_by_length": """SELECT container_kind, sum(greatest(1, ceil(coalesce(n_chars, 0) / capacity_tokens)))::BIGINT AS pieces, sum(coalesce(n_chars, 0))::BIGINT AS total, 0::BIGINT AS overfull, true AS close
 FROM documents, containers GROUP BY container_kind""",
-        "p9_found": f"""WITH own AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL),
-shown AS (SELECT * FROM own WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shown a JOIN shown b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
-        "p9_forms": f"SELECT doc_id, {_FORM} AS form FROM documents",
+        "p9_found": f"""WITH {_FORMS},
+shown_ AS (SELECT doc_id, text, form FROM formed JOIN documents USING (doc_id) WHERE regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM shown_ a JOIN shown_ b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+        "p9_forms": f"WITH {_FORMS} SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(form, '') END AS form FROM documents LEFT JOIN formed USING (doc_id)",
         "p1_found": f"""WITH {_IDS.lstrip()},
 rec AS (SELECT d.*, m.hi, m.lo, n.image_batch_id IS NOT NULL AS fresh FROM digests d LEFT JOIN marks m USING (image_id) LEFT JOIN new_batches n USING (image_batch_id)),
 fresh AS (SELECT * FROM rec WHERE fresh),

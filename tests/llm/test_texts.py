@@ -151,8 +151,15 @@ SAME = [
     ("a-b", "a‑b"),
     ("12 µGy", "12 μGy"),
     ("Cο", "Co"),
+    ("𝐀𝑏𝒸", "Abc"),
+    ("Ⅳ ⅸ", "IV ix"),
+    ("ℓ 5", "l 5"),
+    ("օk ᴏk", "ok ok"),
+    ("ﻻ", "لا"),
+    ("ㄱ", "ᄀ"),
+    ("ǆ", "dž"),
 ]
-APART = [("abc", "Abc"), ("cafe", "café"), ("l", "1"), ("O", "0"), ("a b", "a  b"), ("👩‍⚕️", "👩⚕"), ("rn", "m"), ("a", "b"), ("x", "x.")]
+APART = [("abc", "Abc"), ("cafe", "café"), ("l", "1"), ("O", "0"), ("a b", "a  b"), ("👩‍⚕️", "👩⚕"), ("rn", "m"), ("a", "b"), ("x", "x."), ("x²", "x2"), ("①", "1"), ("½", "1/2"), ("H₂", "H2"), ("㎏", "kg")]
 
 
 def test_texts_that_look_the_same_have_one_form(frame):
