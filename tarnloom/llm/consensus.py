@@ -46,13 +46,18 @@ def people(annotators: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("key").agg(F.min("annotator_id").alias("person_id")), "key").select("annotator_id", "person_id").union(own).groupBy("annotator_id").agg(F.min("person_id").alias("person_id"))
 
 
-def claims(labels: DataFrame, annotators: DataFrame) -> DataFrame:
-    """(annotation_batch_id, image_id, person_id, category_id), distinct: labels of
-    score above 0. Rows with a null in any of these are no claim; an annotator
-    who is not listed is a person of their own."""
+def claimed(labels: DataFrame, annotators: DataFrame) -> DataFrame:
+    """(annotation_batch_id, image_id, person_id, category_id) of labels of score above 0.
+    Rows with a null in any of these are no claim; an annotator who is not listed is
+    a person of their own."""
     full = labels.where("score > 0 and annotation_batch_id is not null and image_id is not null and category_id is not null and annotator_id is not null")
     who = full.join(small(people(annotators)), "annotator_id", "left").withColumn("person_id", F.coalesce("person_id", "annotator_id"))
-    return who.select("annotation_batch_id", "image_id", "person_id", "category_id").distinct()
+    return who.select("annotation_batch_id", "image_id", "person_id", "category_id")
+
+
+def claims(labels: DataFrame, annotators: DataFrame) -> DataFrame:
+    """``claimed``, each once."""
+    return claimed(labels, annotators).distinct()
 
 
 def positions(categories: DataFrame) -> DataFrame:
@@ -68,9 +73,11 @@ def items(labels: DataFrame, annotators: DataFrame, categories: DataFrame) -> Da
     """(annotation_batch_id, image_id, persons, listed, claims): one row for each labelled
     image of a batch. ``claims`` holds each (person, category) once, so its length is
     bounded by the persons times the batch's list."""
-    own = claims(labels, annotators).join(positions(categories), "category_id", "left")
+    own = claimed(labels, annotators).join(small(positions(categories)), "category_id", "left")
     entry = F.struct(F.col("person_id").alias("p"), F.coalesce("position", F.lit(1)).alias("l"), F.col("category_id").alias("c"))
-    return own.groupBy("annotation_batch_id", "image_id").agg(F.countDistinct("person_id").alias("persons"), F.coalesce(F.max("listed"), F.lit(1)).alias("listed"), F.sort_array(F.collect_set(entry)).alias("claims"))
+    # the set drops repeats, so rows are shuffled once
+    sets = own.groupBy("annotation_batch_id", "image_id").agg(F.coalesce(F.max("listed"), F.lit(1)).alias("listed"), F.sort_array(F.collect_set(entry)).alias("claims"))
+    return sets.select("annotation_batch_id", "image_id", F.size(F.array_distinct("claims.p")).cast("long").alias("persons"), "listed", "claims")
 
 
 @dataclass
