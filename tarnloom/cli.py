@@ -13,14 +13,17 @@ import shlex
 import sys
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from . import meta as notes
 from .errors import SpecError
+from .functions.spread import union_all
 from .plans import checks, reads
 from .plans.publish import Author, Store, build, parse_ref
 from .plans.runner import explain, run
 from .plans.session import Session
-from .sources import lists, sinks
-from .sources.catalog import Catalog
+from .sources import ingest, lists, sinks
+from .sources.catalog import SCHEMAS, Catalog
 from .spec import Spec
 
 
@@ -141,11 +144,17 @@ def do_diff(c: Context, a: argparse.Namespace) -> None:
     show(reads.diff_ids(old.cls, new.cls, "ann_id"))
     show(reads.diff_annotations(old.cls, new.cls), reads.SHOWN)
     show(reads.diff_mapping(old.targets, new.targets))
+    show(reads.diff_refs(c.catalog, old.images, new.images))
 
 
 def do_leakage(c: Context, a: argparse.Namespace) -> None:
-    x, y = (reads.stored(c.catalog, c.store, *parse_ref(r)).images for r in (a.left, a.right))
-    found = [reads.leakage_content(x, y), reads.leakage_subjects(x, y)]
+    refs = [a.left, a.right, *a.more]
+    if len(refs) == 2:
+        x, y = (reads.stored(c.catalog, c.store, *parse_ref(r)).images for r in refs)
+        found = [reads.leakage_content(x, y), reads.leakage_subjects(x, y)]
+    else:
+        every = union_all([reads.stored(c.catalog, c.store, *parse_ref(r)).images.select(F.lit(r).alias("version"), "image_id", "blake3_hash", "subject_id") for r in refs])
+        found = [reads.shared_content(every), reads.shared_subjects(every)]
     for f in found:
         show(f.orderBy(f.columns[0]), 50)
     if any(f.take(1) for f in found):
@@ -186,6 +195,48 @@ def do_check(c: Context, a: argparse.Namespace) -> None:
         print(f"{seq}\t{name}\t{n}")
 
 
+FILES = ("images", "cls_annotations", "det_annotations", "categories", "annotators", "licenses")
+
+
+def do_import(c: Context, a: argparse.Namespace) -> None:
+    """A delivery directory for an existing batch SET@VERSION of the kind."""
+    name, version = parse_ref(a.batch)
+    batch = c.catalog.batch_id("image" if a.what == "images" else "annotation", name, version)
+    if a.what == "images":
+        got = ingest.image_batch(c.catalog, batch, c.spark.read.parquet(f"{a.folder}/images.parquet"), a.on_conflict)
+    else:
+        files = {f: c.spark.read.parquet(f"{a.folder}/{f}.parquet") for f in FILES if os.path.exists(f"{a.folder}/{f}.parquet")}
+        got = ingest.annotation_batch(c.catalog, name, batch, files, a.on_missing, a.on_duplicate)
+    for kind, reason, n in (tuple(r) for r in got.refused.groupBy("kind", "reason").count().orderBy("kind", "reason").limit(50).collect()):
+        print(f"refused\t{kind}\t{n}\t{reason}")
+    print(json.dumps(ingest.store(c.catalog, f"{c.root}/originals", got)))
+
+
+def do_meta(c: Context, a: argparse.Namespace) -> None:
+    """Notes about one batch, as Markdown."""
+    name, version = parse_ref(a.batch)
+    batch = c.catalog.batch_id("image" if a.what == "images" else "annotation", name, version)
+    one = lambda frame, key: frame.where(F.col(key) == batch).drop(key)
+    if a.what == "images":
+        stats = one(reads.image_batch_stats(c.catalog), "image_batch_id").first()
+        sizes = one(reads.image_sizes(c.catalog), "image_batch_id").orderBy(F.col("images").desc(), "width", "height").limit(20).collect()
+        text = notes.images_note(a.batch, stats.asDict() if stats else {}, one(reads.suffixes(c.catalog), "image_batch_id").orderBy("suffix").collect(), sizes, a.note)
+    else:
+        stats = one(reads.annotation_batch_stats(c.catalog, batch), "annotation_batch_id").first()
+        names = reads.categories(c.catalog, batch).select("category_id", "category")
+        spread = names.join(reads.local_distribution(c.catalog, batch), "category_id", "left").orderBy("category").select("category", "positive", "negative", "unknown").collect()
+        text = notes.annotations_note(a.batch, stats.asDict() if stats else {}, spread, a.note)
+    sys.stdout.write(text)
+
+
+def do_db(c: Context, a: argparse.Namespace) -> None:
+    """Rows of each table of the warehouse, and the published versions."""
+    for table in SCHEMAS:
+        there = table in c.catalog.tables
+        print(f"{table}\t{c.catalog.table(table).count() if there else 'absent'}")
+    print(f"versions\t{len(c.store.versions())}")
+
+
 def do_explore(c: Context, a: argparse.Namespace) -> None:
     Shell(Session(c.catalog, c.lists, lambda w: print(f"warning: {w}")), c.store).cmdloop()
 
@@ -200,10 +251,13 @@ COMMANDS: dict[str, tuple[Callable, list[tuple]]] = {
     "image": (do_image, [("image", {})]),
     "why": (do_why, [("ref", {}), ("image", {})]),
     "diff": (do_diff, [("old", {}), ("new", {})]),
-    "check-leakage": (do_leakage, [("left", {}), ("right", {})]),
+    "check-leakage": (do_leakage, [("left", {}), ("right", {}), ("more", {"nargs": "*"})]),
     "rm": (do_rm, [("ref", {}), ("--yes", {"action": "store_true"})]),
     "export": (do_export, [("ref", {}), ("format", {"choices": ["csv", "parquet", "coco", "coco-lines", "zip"]}), ("out", {})]),
     "check": (do_check, [("ref", {"nargs": "?"}), ("other", {"nargs": "?"})]),
+    "import": (do_import, [("what", {"choices": ["images", "annotations"]}), ("batch", {}), ("folder", {}), ("--on-conflict", {"choices": ["error", "skip", "overwrite"], "default": "error"}), ("--on-missing", {"choices": ["error", "skip"], "default": "error"}), ("--on-duplicate", {"choices": ["error", "skip"], "default": "error"})]),
+    "meta": (do_meta, [("what", {"choices": ["images", "annotations"]}), ("batch", {}), ("--note", {"default": ""})]),
+    "db": (do_db, [("what", {"choices": ["status"]})]),
     "explore": (do_explore, []),
 }
 
@@ -308,13 +362,16 @@ class Shell(cmd.Cmd):
         self.say(self.session.dedup([s for s in line.strip().split(",") if s]))
 
     def do_union(self, line):
-        self.say(self.session.union())
+        """union [STEP STEP ...]"""
+        self.say(self.session.union(shlex.split(line)))
 
     def do_intersect(self, line):
-        self.say(self.session.intersect())
+        """intersect [STEP STEP ...]"""
+        self.say(self.session.intersect(shlex.split(line)))
 
     def do_except(self, line):
-        self.say(self.session.exclude())
+        """except [STEP STEP ...]"""
+        self.say(self.session.exclude(shlex.split(line)))
 
     def do_categories(self, line):
         self.table(self.session.preview_categories())

@@ -139,7 +139,8 @@ class Store:
         if not doomed:
             raise SpecError(f"nothing to remove: {name}" + (f"@{version}" if version else ""))
         rest = [m for m in self.versions(name) if m not in doomed]
-        return [{**{k: m[k] for k in ("name", "version", "counts")}, "removes_set": not rest} for m in doomed]
+        steps = lambda m: len(spec.steps) if (spec := self.spec(m["name"], m["version"])[0]) else 0
+        return [{**{k: m[k] for k in ("name", "version", "counts")}, "steps": steps(m), "removes_set": not rest} for m in doomed]
 
     def delete(self, name: str, version: str | None = None) -> list[str]:
         """Removes a version or all of a set; the manifest goes first, so readers never see half."""

@@ -6,6 +6,8 @@ of a version, ``notes`` (ann_id, image_id, category_id, score, ...) frames.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +172,7 @@ def category_distribution(own: Candidates) -> DataFrame:
 
 def preview(own: Candidates) -> DataFrame:
     """(section, name, n): the summary of an exploration in one frame: images by source,
-    annotations by local category, target and annotator, sizes, coverage."""
+    annotations by local category, target and annotator, sizes, coverage, subjects, years."""
     images = own.images.groupBy(F.concat_ws("@", "original_set", "batch_version").alias("name")).agg(_n()).select(F.lit("source").alias("section"), "name", "n")
     notes = own.mapped("cls").select("category", "target", "annotator").union(own.mapped("det").select("category", "target", "annotator"))
     out = images
@@ -178,7 +180,20 @@ def preview(own: Candidates) -> DataFrame:
         out = out.union(notes.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(_n()).select(F.lit(section), "name", "n"))
     sizes = own.images.groupBy(F.concat_ws("x", "width", "height").alias("name")).agg(_n()).orderBy(F.col("n").desc(), "name").limit(5)
     covered = own.annotated().agg(_n()).select(F.lit("coverage"), F.lit("annotated"), "n")
-    return out.union(sizes.select(F.lit("size"), "name", "n")).union(covered)
+    known = F.when(F.col("subject_id") != "", F.col("subject_id"))
+    people = own.images.groupBy(known.alias("s")).agg(_n())
+    most = people.where("s is not null").agg(F.count(F.lit(1)).alias("subjects"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    unknown = people.agg(F.coalesce(F.sum(F.when(F.col("s").isNull(), F.col("n"))), F.lit(0)))
+    dates = own.images.groupBy(F.date_format("date_captured", "yyyy").alias("name")).agg(_n())
+    unmapped = notes.where("target is null").agg(_n())
+    more = [
+        most.select(F.lit("subjects"), F.lit("known"), F.col("subjects")),
+        most.select(F.lit("subjects"), F.lit("most images"), F.col("most")),
+        unknown.select(F.lit("subjects"), F.lit("images without"), "*"),
+        unmapped.select(F.lit("coverage"), F.lit("unmapped"), "n"),
+        dates.select(F.lit("year"), F.coalesce("name", F.lit("none")), "n"),
+    ]
+    return reduce(DataFrame.union, [out, sizes.select(F.lit("size"), "name", "n"), covered, *more])
 
 
 def conflict_pairs(own: Candidates) -> DataFrame:
@@ -201,6 +216,34 @@ def leakage_subjects(left: DataFrame, right: DataFrame) -> DataFrame:
     return count(left, "left_images").join(count(right, "right_images"), "subject_id")
 
 
+def shared_content(images: DataFrame) -> DataFrame:
+    """(blake3_hash, versions, image_ids, subjects): content that several of any number of versions have,
+    from rows (version, image_id, blake3_hash, subject_id); sorted lists, joined by comma."""
+    return _shared(images.where("blake3_hash is not null"), "blake3_hash")
+
+
+def shared_subjects(images: DataFrame) -> DataFrame:
+    """(subject_id, versions, image_ids): subjects that several of any number of versions have."""
+    return _shared(images.where("subject_id <> ''"), "subject_id").drop("subjects")
+
+
+def _shared(images: DataFrame, key: str) -> DataFrame:
+    # only keys of several versions gather their lists, which are the report
+    several = images.groupBy(key).agg(F.countDistinct("version").alias("_v")).where("_v > 1").select(key)
+    listed = lambda c, n: F.array_join(F.sort_array(F.collect_set(c)), ",").alias(n)
+    return images.join(several, key).groupBy(key).agg(listed("version", "versions"), listed("image_id", "image_ids"), listed("subject_id", "subjects"))
+
+
+def diff_refs(c: Catalog, old: DataFrame, new: DataFrame, size: int = SHOWN) -> DataFrame:
+    """(change, ref): the first ``size`` added and removed images as set/version/file, in order."""
+    ref = F.concat_ws("/", "original_set", "batch_version", "file_name").alias("ref")
+    out = None
+    for change, one, other in (("added", new, old), ("removed", old, new)):
+        part = one.join(other.select("image_id"), "image_id", "left_anti").select(F.lit(change).alias("change"), ref).orderBy("ref").limit(size)
+        out = part if out is None else out.union(part)
+    return out
+
+
 def diff_ids(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(change, n): added, removed and unchanged ids."""
     both = old.select(key).distinct().withColumn("_o", F.lit(1)).join(new.select(key).distinct().withColumn("_n", F.lit(1)), key, "full")
@@ -255,14 +298,23 @@ def lineage(c: Catalog, image_id: int | None = None) -> DataFrame:
     return out if image_id is None else out.where(F.col("image_id") == image_id)
 
 
+def image_uses(store, image_id: int) -> DataFrame:
+    """(version, cls, det, order): the versions that have an image and how many of its annotations,
+    newest first; one scan over the memberships of all versions."""
+    parts = []
+    for order, m in enumerate(store.versions()):
+        for part in ("images", "cls", "det"):
+            rows = store.spark.read.schema("image_id long").parquet(f"{store.at(m['name'], m['version'])}/{part}").where(F.col("image_id") == image_id)
+            parts.append(rows.select(F.lit(f"{m['name']}@{m['version']}").alias("version"), F.lit(order).alias("order"), F.lit(part).alias("part")))
+    count = lambda part: F.count_if(F.col("part") == part)
+    own = reduce(DataFrame.union, parts).groupBy("version", "order").agg(count("images").alias("_in"), count("cls").alias("cls"), count("det").alias("det"))
+    return own.where("_in > 0").select("version", "cls", "det", "order")
+
+
 def image_detail(c: Catalog, image_id: int, store=None) -> dict:
     """Head row, annotations, twins, relatives and the versions that use an image."""
     head = c.images().where(F.col("image_id") == image_id).first()
-    used = []
-    for m in store.versions() if store else []:
-        if store.table(m["name"], m["version"], "images").where(F.col("image_id") == image_id).take(1):
-            counts = {k: store.table(m["name"], m["version"], k).where(F.col("image_id") == image_id).count() for k in ("cls", "det")}
-            used.append({"version": f"{m['name']}@{m['version']}", **counts})
+    used = [{"version": r["version"], "cls": r["cls"], "det": r["det"]} for r in image_uses(store, image_id).orderBy("order").collect()] if store and store.versions() else []
     return {
         "image": head.asDict() if head else None,
         "cls": [r.asDict() for r in c.annotations("cls").where(F.col("image_id") == image_id).orderBy("ann_id").collect()],

@@ -396,7 +396,10 @@ def category_distribution(c):
 @query("""WITH sz AS (SELECT 'size' AS section, width || 'x' || height AS name, count(*) AS n FROM im GROUP BY 2 ORDER BY n DESC, name LIMIT 5)
 SELECT 'source' AS section, original_set || '@' || batch_version AS name, count(*) AS n FROM im GROUP BY 2
 UNION ALL SELECT 'local', category, count(*) FROM an GROUP BY 2 UNION ALL SELECT 'target', family, count(*) FROM an GROUP BY 2 UNION ALL SELECT 'annotator', annotator, count(*) FROM an WHERE annotator IS NOT NULL GROUP BY 2
-UNION ALL SELECT * FROM sz UNION ALL SELECT 'coverage', 'annotated', count(DISTINCT image_id) FROM an""")
+UNION ALL SELECT * FROM sz UNION ALL SELECT 'coverage', 'annotated', count(DISTINCT image_id) FROM an UNION ALL SELECT 'coverage', 'unmapped', count(*) FROM an WHERE family IS NULL
+UNION ALL SELECT 'subjects', 'known', count(DISTINCT nullif(subject_id, '')) FROM im UNION ALL SELECT 'subjects', 'images without', count(*) FROM im WHERE coalesce(subject_id, '') = ''
+UNION ALL SELECT 'subjects', 'most images', coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM im WHERE subject_id <> '' GROUP BY subject_id)
+UNION ALL SELECT 'year', coalesce(strftime(date_captured, '%Y'), 'none'), count(*) FROM im GROUP BY 2""")
 def preview_summary(c):
     return reads.preview(whole(c, "family"))
 
@@ -428,6 +431,31 @@ def leakage_subjects(c, d):
     return reads.leakage_subjects(_split(c, d, 101), _split(c, d, 102))
 
 
+def _versions(c: Catalog, sf_dir: str) -> DataFrame:
+    """All splits: (version, image_id, blake3_hash, subject_id)."""
+    members = c.spark.read.parquet(f"{sf_dir}/manual_set_images.parquet").select(F.col("manual_set_version_id").alias("version"), "image_id").distinct()
+    return members.join(whole(c).images, "image_id").select("version", "image_id", "blake3_hash", "subject_id")
+
+
+_MEMBERS = "v AS (SELECT DISTINCT manual_set_version_id AS version, im.image_id, blake3_hash, subject_id FROM manual_set_images m JOIN im USING (image_id))"
+
+
+@split_query(f", {_MEMBERS} SELECT blake3_hash, array_to_string(list_sort(list(DISTINCT version)), ',') AS versions, array_to_string(list_sort(list(DISTINCT image_id)), ',') AS image_ids, coalesce(array_to_string(list_sort(list(DISTINCT subject_id)), ','), '') AS subjects FROM v WHERE blake3_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT version) > 1")
+def shared_content(c, d):
+    return reads.shared_content(_versions(c, d))
+
+
+@split_query(f", {_MEMBERS} SELECT subject_id, array_to_string(list_sort(list(DISTINCT version)), ',') AS versions, array_to_string(list_sort(list(DISTINCT image_id)), ',') AS image_ids FROM v WHERE subject_id <> '' GROUP BY 1 HAVING count(DISTINCT version) > 1")
+def shared_subjects(c, d):
+    return reads.shared_subjects(_versions(c, d))
+
+
+@split_query("""SELECT 'added' AS change, ref FROM (SELECT original_set || '/' || batch_version || '/' || file_name AS ref FROM b WHERE image_id NOT IN (SELECT image_id FROM a) ORDER BY ref LIMIT 20)
+UNION ALL SELECT 'removed', ref FROM (SELECT original_set || '/' || batch_version || '/' || file_name AS ref FROM a WHERE image_id NOT IN (SELECT image_id FROM b) ORDER BY ref LIMIT 20)""")
+def diff_refs(c, d):
+    return reads.diff_refs(c, _split(c, d, 101), _split(c, d, 102))
+
+
 @split_query("SELECT CASE WHEN a.image_id IS NULL THEN 'added' WHEN b.image_id IS NULL THEN 'removed' ELSE 'unchanged' END AS change, count(*) AS n FROM a FULL JOIN b ON a.image_id = b.image_id GROUP BY 1")
 def diff_images(c, d):
     return reads.diff_ids(_split(c, d, 101), _split(c, d, 102), "image_id")

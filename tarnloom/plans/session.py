@@ -80,7 +80,7 @@ class Session:
     def add_source(self, original_set: str, image_batch: str | None = None, annotation_batch: str | None = None, with_annotations: bool = True) -> Result:
         return self._apply("source", original_set=original_set, image_batch=image_batch, annotation_batch=annotation_batch, with_annotations=with_annotations)
 
-    def import_list(self, original_set: str, image_batch: str, names: list[str], source: str | None = None, on_missing: str = "warn") -> Result:
+    def import_list(self, original_set: str, image_batch: str, names: list[str], source: str | None = None, on_missing: str = "error") -> Result:
         return self._apply("import_list", original_set=original_set, image_batch=image_batch, on_missing=on_missing, **self._names(names, source))
 
     def last_import_report(self) -> dict[str, Any]:
@@ -89,19 +89,23 @@ class Session:
                 return self.results[s.id].stats
         raise SpecError("no list was imported")
 
-    def _combine(self, op: str) -> Result:
-        if len(self.open_branches) < 2:
-            raise SpecError(f"{op} needs at least two open branches")
-        return self._apply(op, inputs=self.open_branches)
+    def _combine(self, op: str, inputs: list[str] | None) -> Result:
+        """Over the given steps, or all open branches."""
+        chosen = inputs or self.open_branches
+        if len(chosen) < 2:
+            raise SpecError(f"{op} needs at least two " + ("inputs" if inputs else "open branches"))
+        if unknown := [i for i in chosen if i not in self.results]:
+            raise SpecError(f"no step {unknown[0]!r}")
+        return self._apply(op, inputs=chosen)
 
-    def union(self) -> Result:
-        return self._combine("union")
+    def union(self, inputs: list[str] | None = None) -> Result:
+        return self._combine("union", inputs)
 
-    def intersect(self) -> Result:
-        return self._combine("intersect")
+    def intersect(self, inputs: list[str] | None = None) -> Result:
+        return self._combine("intersect", inputs)
 
-    def exclude(self) -> Result:
-        return self._combine("except")
+    def exclude(self, inputs: list[str] | None = None) -> Result:
+        return self._combine("except", inputs)
 
     # narrowing
 

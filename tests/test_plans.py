@@ -138,7 +138,7 @@ def test_session(c, spark, tmp_path):
     fresh.replay(spec)
     assert fresh.current.counts() == s.current.counts() and len(fresh.describe()) == 7
     names = Session(world(spark), str(tmp_path / "lists"))
-    names.import_list("left", "V1", ["a.png"] + [f"{i}.png" for i in range(300)], "delivery")
+    names.import_list("left", "V1", ["a.png"] + [f"{i}.png" for i in range(300)], "delivery", on_missing="warn")
     assert names.steps[0]["file_names_ref"]["source"] == "delivery" and names.last_import_report()["missing_count"] == 300
 
 
@@ -152,6 +152,17 @@ def test_lists(spark, tmp_path):
         lists.fetch(c, "zz")
 
 
+def test_a_prefix_is_looked_up_among_all_lists(spark):
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    many = [(lists.digest([f"n{i}"]), [f"n{i}"], None, day + datetime.timedelta(minutes=i)) for i in range(700)]
+    c = Catalog(spark, {"import_lists": spark.createDataFrame([*many, many[0]], SCHEMAS["import_lists"])})
+    assert lists.fetch(c, many[0][0][:20]) == ["n0"]
+    with pytest.raises(SpecError, match="ambiguous"):
+        lists.fetch(c, next(p for p in "0123456789abcdef" if sum(m[0].startswith(p) for m in many) > 1))
+
+
 def test_cli_and_shell(c, spark, store, tmp_path, capsys):
     for name, data in TABLES.items():
         spark.createDataFrame(data, SCHEMAS[name]).write.parquet(str(tmp_path / "originals" / name))
@@ -192,6 +203,129 @@ def test_ingest(c, spark):
     assert {r["id"]: r["blake3_hash"] for r in filled.collect()}[3] == "c" * 64 and {r["id"]: r["blake3_hash"] for r in filled.collect()}[1] == "a" * 64
 
 
+def test_nothing_is_dropped_without_a_reason(c, spark):
+    f = spark.createDataFrame
+    files = {
+        "images": f([(10, "a.png", "V1", 7, "2020-02-30"), (11, "c.jpg", "V1", 7, "2019-05-06")], "id long, file_name string, source_version string, license long, date_captured string"),
+        "licenses": f([(7, "CC-BY", None)], "id long, name string, url string"),
+        "categories": f([(1, "Pneumonia", "x"), (2, "Twice", None), (3, "Twice", "b")], "id long, name string, supercategory string"),
+        "annotators": f([(5, "junior")], "id long, name string"),
+        "cls_annotations": f([(10, 1, 0.5, 5), (10, 1, 0.5, 5), (10, 1, 0.6, 5), (11, 9, 0.5, 5), (11, 1, 0.5, 99), (11, 2, 0.5, 5), (11, 3, 0.7, 5)], "image_id long, category_id long, score double, annotator_id long"),
+    }
+    with pytest.raises(SpecError, match="twice"):
+        ingest.annotation_batch(c, "left", 1, files)
+    got = ingest.annotation_batch(c, "left", 1, files, on_duplicate="skip")
+    assert sorted(r["reason"] for r in got.refused.collect()) == ["annotator not in the delivery", "category not in the delivery", "claim made twice"]
+    # the batch has a Pneumonia already; the new category follows the ids of all batches, and its values are of one row
+    assert rows(got.rows["categories"].select("id", "name", "supercategory")) == [(7, "Twice", None)]
+    assert rows(got.rows["cls_annotations"].select("image_id", "category_id", "score", "annotator_id")) == [(1, 1, 0.5, 1), (1, 1, 0.6, 1), (3, 7, 0.5, 1), (3, 7, 0.7, 1)]
+    # gaps of stored images are filled, what they have stays, and a date that is none is no date
+    assert rows(got.rows["licenses"].select("id", "name")) == [(1, "CC-BY")]
+    assert [tuple(map(str, r)) for r in got.updates["images"].collect()] == [("3", "1", "2019-05-06")]
+    # the same again adds nothing
+    own = world(spark)
+    own.tables["cls_annotations"] = own.tables["cls_annotations"].unionByName(got.rows["cls_annotations"].select(own.tables["cls_annotations"].columns))
+    own.tables["categories"] = own.tables["categories"].union(got.rows["categories"].select(own.tables["categories"].columns))
+    again = ingest.annotation_batch(own, "left", 1, files, on_duplicate="skip")
+    assert again.rows["cls_annotations"].count() == 0 and again.rows["categories"].count() == 0 and again.refused.where("reason = 'stored already'").count() == 4
+
+
+def test_image_deliveries(c, spark):
+    given = spark.createDataFrame([("a.png", 5, 6, "9" * 64), ("n.png", 2, 9, None), ("n.png", 3, 1, None)], "file_name string, width int, height int, blake3_hash string")
+    skip, over = (ingest.image_batch(c, 1, given, how) for how in ("skip", "overwrite"))
+    assert rows(skip.rows["images"].select("file_name", "width", "height")) == [("n.png", 2, 9)]  # a row that was delivered, not the least of each column
+    assert sorted(r["reason"] for r in skip.refused.collect()) == ["delivered more than once: n.png", "registered already: a.png"] and not skip.updates
+    assert over.refused.count() == 1
+    new = {r["id"]: r for r in ingest.replaced(c.table("images"), over.updates["images"]).collect()}
+    assert (new[1]["width"], new[1]["blake3_hash"][0], new[1]["license_id"], new[2]["width"]) == (5, "9", 1, 200)
+
+
+def test_import_and_notes_from_the_command_line(spark, tmp_path, capsys):
+    for name, frame in world(spark).tables.items():
+        frame.write.parquet(str(tmp_path / "originals" / name))
+    spark.createDataFrame([(1, "a.png", "V1"), (2, "c.jpg", "V1")], "id long, file_name string, source_version string").coalesce(1).write.parquet(str(tmp_path / "in/images.parquet"))
+    spark.createDataFrame([(1, 4, 0.5, 1), (2, 4, 0.25, 1)], "image_id long, category_id long, score double, annotator_id long").write.parquet(str(tmp_path / "in/cls_annotations.parquet"))
+    spark.createDataFrame([(4, "Nodule")], "id long, name string").write.parquet(str(tmp_path / "in/categories.parquet"))
+    spark.createDataFrame([(1, "newcomer")], "id long, name string").write.parquet(str(tmp_path / "in/annotators.parquet"))
+    spark.createDataFrame([("a.png", 11, 12), ("z.png", 13, 14)], "file_name string, width int, height int").write.parquet(str(tmp_path / "pics/images.parquet"))
+
+    def call(*arguments):
+        context = object.__new__(cli.Context)
+        context.root, context.spark, context.lists = str(tmp_path), spark, ""
+        context.catalog, context.store = Catalog.open(spark, f"{tmp_path}/originals"), Store(spark, str(tmp_path / "manual_sets"))
+        assert cli.main(list(arguments), context) == 0, capsys.readouterr().err
+        return capsys.readouterr().out
+
+    assert '"cls_annotations": 2' in call("import", "annotations", "left@V2", str(tmp_path / "in"))
+    assert "stored already" in call("import", "annotations", "left@V2", str(tmp_path / "in"))
+    out = call("import", "images", "left@V1", str(tmp_path / "pics"), "--on-conflict", "overwrite")
+    assert '"images updated": 1' in out and '"images": 1' in out
+    assert "images\t8\n" in call("db", "status") and "11" in call("meta", "images", "left@V1") and "Nodule" in call("meta", "annotations", "left@V2")
+
+
+def test_two_builders_of_one_version(c, spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    own = Store(spark, str(tmp_path))
+
+    def attempt(who: str, version: str = "V1") -> str:
+        try:
+            build(c, own, SPEC, "s", version, Author(who, f"{who}@b"))
+            return who
+        except SpecError as error:
+            return str(error)
+
+    with ThreadPoolExecutor(2) as pool:
+        said = list(pool.map(attempt, ("ann", "ben")))
+    won = [s for s in said if s in ("ann", "ben")]
+    assert len(won) == 1 and own.manifest("s", "V1")["created_by"] == won[0] and won[0] in next(s for s in said if s != won[0])
+    assert sorted(f.getPath().getName() for f in own.fs.listStatus(own._path("s", "V1"))) == sorted(["images", "cls", "det", "targets", "mappings", "spec.yaml", "__meta__.md", "manifest.json"])
+    # a claim of a builder that was lost is in the way until it is removed
+    assert own.claim("s", "V2", "lost") and "lost" in attempt("cid", "V2")
+    assert own.delete("s", "V2") == ["the claim of s@V2"] and build(c, own, SPEC, "s", "V2", Author("cid", "c@b"))[1]["created_by"] == "cid"
+
+
+def test_fingerprint_of_a_known_specification():
+    """The canonical form hashes to the published value."""
+    # fixed values: what was hashed
+    text = 'Pneumonia 訓練集：三個來源合併去重後，依 subject_id 決定性切出 3/4。 同一個 seed 永遠切出同一批病患，val 用同一組 seed 取補集， 兩邊保證不會有同一位病患的影像（§8 原則 5）。\n'
+    rules = [{"rule": "annotator_precedence", "annotator_precedence": ["radiologist_senior", "dr_lee", "radiologist_junior"]}, {"rule": "highest_score"}]
+    names = {"aws_images@V2": {"Pneumonia": "pneumonia", "Normal": "normal", "Effusion": "effusion"}, "TB-portal@V1": {"TB": "tb", "Normal": "normal", "Pneumonia": "pneumonia"}, "DrLee@V1": {"pneumonia": "pneumonia", "normal": "normal"}}
+    steps = [
+        {"id": "aws", "op": "source", "original_set": "aws_images", "annotation_batch": "V2"},
+        {"id": "tb", "op": "source", "original_set": "TB-portal", "annotation_batch": "V1"},
+        {"id": "drlee", "op": "source", "original_set": "DrLee", "annotation_batch": "V1"},
+        {"id": "pooled", "op": "union", "inputs": ["aws", "tb", "drlee"]},
+        {"id": "pooled_deduped", "op": "dedup", "input": "pooled", "key": "blake3", "source_priority": ["TB-portal", "DrLee", "aws_images"]},
+        {"id": "train_split", "op": "filter", "input": "pooled_deduped", "criterion": "sample", "method": "hash_mod", "key_field": "subject_id", "mod": 4, "keep_remainder": [0, 1, 2], "seed": "pneumonia-2026-split"},
+        {"id": "mapped", "op": "category_map", "input": "train_split", "mapping": names},
+        {"id": "resolved", "op": "conflict_resolve", "input": "mapped", "rules": rules, "strict": True},
+    ]
+    assert Spec.parse({"description": text, "steps": steps, "final": "resolved"}).fingerprint().startswith("186ef577cb45cbe0")
+
+
+def test_lazy_steps_give_what_written_ones_do(c, monkeypatch):
+    from tarnloom.plans import runner
+
+    want = {k: rows(getattr(runner.run(c, SPEC).final, k)) for k in ("images", "cls", "det", "targets")}
+    assert runner.written(SPEC) == {"u", "n", "d", "m"} and set(runner.fused(c, SPEC)) == {"u"}
+    monkeypatch.setattr(runner, "written", lambda spec: {s.id for s in spec.steps})
+    monkeypatch.setattr(runner, "fused", lambda catalog, spec: {})
+    assert {k: rows(getattr(runner.run(c, SPEC).final, k)) for k in want} == want
+
+
+def test_batch_filter_reaches_the_scan(spark):
+    from tarnloom.operators.sources import image_batches
+    from tarnloom.plans import samples
+
+    own = image_batches(samples.catalog(spark, "/root/testdata/sf0.001"), [1, 2], True)
+    plan = own.cls._jdf.queryExecution().toString()
+    assert "In(image_batch_id, [1,2])" in plan
+    # the semi join comes before the rows are shuffled by their id
+    physical = plan.split("== Physical Plan ==")[1]
+    assert physical.index("ann_id") < physical.rindex("LeftSemi")
+
+
 def test_image_files_and_headers(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (8).to_bytes(4, "big") + (9).to_bytes(4, "big") + b"\x10\x00\x00\x00\x00"
     (tmp_path / "a.png").write_bytes(png)
@@ -224,6 +358,15 @@ def test_intake_takes_every_row_once(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("id")) == [(1,), (2,)]
 
 
+def test_intake_keeps_boxes_without_a_score(spark, tmp_path):
+    from tarnloom.streaming.intake import follow
+
+    made = spark.createDataFrame([(1, 1, 1, 1, [1.0, 1.0, 2.0, 2.0], None, 0, None, 1)], SCHEMAS["det_annotations"]).selectExpr("*", "timestamp'2024-01-01 00:00:00' AS delivered_at")
+    made.write.parquet(str(tmp_path / "in/1"))
+    follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), table="det_annotations", once=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).first()["score"] is None
+
+
 def test_intake_takes_late_rows_and_no_late_repeats(spark, tmp_path):
     from tarnloom.streaming.intake import follow
 
