@@ -15,6 +15,7 @@ import getpass
 import json
 import os
 import socket
+import time
 import uuid
 from dataclasses import dataclass
 from typing import Any
@@ -119,11 +120,19 @@ class Store:
         return spec, "ok" if spec.fingerprint() == m["spec_sha256"] else "modified"
 
     def claim(self, name: str, version: str, author: str) -> bool:
-        """Whether this builder is the first to claim the version."""
-        try:
-            stream = self.fs.create(self._path(name, "_claims", version), False)
-        except Py4JJavaError:
-            return False
+        """Whether this builder is the first to claim the version. A local file system needs its
+        own call for it; Hadoop's looks first and creates then."""
+        path = self._path(name, "_claims", version)
+        self.fs.mkdirs(path.getParent())
+        if self.fs.getUri().getScheme() == "file":
+            if not self.jvm.java.io.File(path.toUri().getPath()).createNewFile():
+                return False
+            stream = self.fs.create(path, True)
+        else:
+            try:
+                stream = self.fs.create(path, False)
+            except Py4JJavaError:
+                return False
         stream.write(bytearray(author.encode()))
         stream.close()
         return True
@@ -180,6 +189,15 @@ def tables(own: Candidates) -> dict[str, DataFrame]:
     }
 
 
+def _winner(store: Store, name: str, version: str) -> str:
+    """Who published or claimed a version; a claim may be a moment old and still without its name."""
+    for _ in range(20):
+        if who := (store.manifest(name, version) or {}).get("created_by") or store.claimed_by(name, version):
+            return who
+        time.sleep(0.1)
+    return "someone else"
+
+
 def build(catalog: Catalog, store: Store, spec: Spec, name: str, version: str, author: Author, note: str = "", dry_run: bool = False, meta=None) -> tuple[Run, dict[str, Any] | None]:
     """Runs, checks and publishes. A failure leaves nothing visible; a version that appears
     meanwhile is an error that names its builder."""
@@ -215,8 +233,7 @@ def build(catalog: Catalog, store: Store, spec: Spec, name: str, version: str, a
         if mine and not store.fs.exists(store._path(name, version)):
             moved = store.fs.rename(store._path(*staging.split("/")), store._path(name, version))
         if not moved:
-            winner = (store.manifest(name, version) or {}).get("created_by") or (not mine and store.claimed_by(name, version)) or "someone else"
-            raise SpecError(f"{target} was just created by {winner}")
+            raise SpecError(f"{target} was just created by {_winner(store, name, version)}")
     finally:
         if mine and not moved:
             store.unclaim(name, version)
