@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import meta as notes
 from .errors import SpecError
-from .functions.spread import union_all
+from .functions.spread import release, union_all
 from .plans import checks, reads
 from .plans.publish import Author, Store, build, parse_ref
 from .plans.runner import explain, run
@@ -283,6 +283,9 @@ def main(argv: list[str] | None = None, context: Context | None = None) -> int:
             raise
         print(f"error: {' '.join(str(error).split())[:500]}", file=sys.stderr)
         return 1
+    finally:
+        if context is None:
+            release()
 
 
 class Shell(cmd.Cmd):

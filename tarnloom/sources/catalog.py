@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SpecError
-from ..functions.spread import small
+from ..functions.spread import listed, small
 
 SCHEMAS: dict[str, str] = {
     "batches": "original_set_name string, batch_kind string, version string, batch_id long, created_at timestamp",
@@ -73,13 +73,25 @@ class Catalog:
         rows = self.table("batches").where(F.col("batch_kind") == kind)
         return rows.groupBy("batch_id").agg(F.max(F.struct("created_at", "original_set_name", "version")).alias("b")).select("batch_id", F.col("b.original_set_name").alias("original_set"), F.col("b.version").alias("batch_version"), "b.created_at")
 
+    @cached_property
+    def _held(self) -> list[tuple[str, int, str, str]] | None:
+        """(kind, id, set, version) of every batch; None if they are too many to hold."""
+        newest = F.max(F.struct("created_at", "original_set_name", "version")).alias("b")
+        rows = self.table("batches").groupBy("batch_kind", "batch_id").agg(newest).select("batch_kind", "batch_id", "b.original_set_name", "b.version").limit(HELD_BATCHES + 1).collect()
+        return [tuple(r) for r in rows] if len(rows) <= HELD_BATCHES else None
+
     @cached_property
     def _numbers(self) -> dict[tuple[str, str, str], int] | None:
         """Batch ids by (kind, set, version), the smallest of each; None if they are too many to hold."""
-        rows = []
-        for kind in ("image", "annotation"):
-            rows += [(kind, *r) for r in self.batches(kind).select("original_set", "batch_version", "batch_id").limit(HELD_BATCHES + 1).collect()]
-        return {r[:3]: r[3] for r in sorted(rows, key=lambda r: -r[3])} if len(rows) <= HELD_BATCHES else None
+        if self._held is None:
+            return None
+        return {(kind, own, version): number for kind, number, own, version in sorted((r for r in self._held if r[1] is not None), key=lambda r: -r[1])}
+
+    def _batch_names(self, kind: str, column: str) -> DataFrame:
+        """(column, original_set, batch_version) of the batches of a kind, for joins."""
+        if self._held is None:
+            return small(self.batches(kind).select(F.col("batch_id").alias(column), "original_set", "batch_version"))
+        return listed(self.spark, [r[1:] for r in self._held if r[0] == kind], f"{column} long, original_set string, batch_version string")
 
     def batch_id(self, kind: str, original_set: str, version: str) -> int:
         if self._numbers is not None:
@@ -102,11 +114,11 @@ class Catalog:
 
     @cached_property
     def _image_batches(self) -> DataFrame:
-        return small(self.batches("image").select(F.col("batch_id").alias("image_batch_id"), "original_set", "batch_version"))
+        return self._batch_names("image", "image_batch_id")
 
     @cached_property
     def _annotation_batches(self) -> DataFrame:
-        return small(self.batches("annotation").select(F.col("batch_id").alias("annotation_batch_id"), "original_set", "batch_version"))
+        return self._batch_names("annotation", "annotation_batch_id")
 
     @cached_property
     def _annotators(self) -> DataFrame:

@@ -57,6 +57,15 @@ def test_salted_join_and_ranks_lose_nothing(spark):
     for block in (7, 1000):
         got = sorted(map(tuple, salted_join(left, right, ["k"], hot, block).collect()))
         assert got == sorted(map(tuple, left.join(right, "k").collect()))
+    # tables of cuts go when they are released
+    from tarnloom.functions import spread
+
+    known = dict(spread._made)
+    spread._made.clear()
+    path = spread.cut(left, "gone").inputFiles()[0].removeprefix("file://")
+    spread.release()
+    assert not os.path.exists(path)
+    spread._made.update(known)
     # hot on both sides
     many = right.selectExpr("k", "v AS w")
     both = right.groupBy("k").count().selectExpr("k", "count AS n", "count AS m")
