@@ -90,8 +90,9 @@ parts AS (SELECT name, w, at, explode(sequence(1, least((SELECT k FROM most), si
 SELECT DISTINCT name, array_join(slice(w, at + 1, n), '') AS form, n, 0 AS turned FROM parts
 UNION ALL SELECT f.name, f.form, f.n, f.turned FROM {whole} f JOIN open o ON f.name = o.name WHERE f.turned = 1 OR f.n > (SELECT k FROM most)"""
 
-# The segments of a reference string with their places, against the places of the distinct pieces.
-SLIPPED = """
+# The segments of a reference string with their places, against the places of the distinct pieces, which
+# are few bytes and much work: they and what they meet are spread over a fixed number of tasks.
+CANDIDATES = """
 WITH sized AS (SELECT finding_id, form, CAST(least(2, length(form) div 3) AS INT) AS s FROM {entries}),
 cuts AS (
   SELECT finding_id, form, s, explode(transform(sequence(0, 2 * s), i -> struct(
@@ -99,22 +100,27 @@ cuts AS (
     substring(form, CAST(floor(length(form) * i / (2 * s + 1)) AS INT) + 1, CAST(floor(length(form) * (i + 1) / (2 * s + 1)) - floor(length(form) * i / (2 * s + 1)) AS INT)) AS segment))) AS c
   FROM sized WHERE s > 0),
 shapes AS (SELECT coalesce(sort_array(collect_set(length(c.segment))), array()) AS ws FROM cuts),
-own AS (SELECT /*+ REPARTITION({parts}, form) */ DISTINCT form FROM {pieces}),
+distinct_ AS (SELECT DISTINCT form FROM {pieces}),
+own AS (SELECT /*+ REPARTITION({parts}) */ form FROM distinct_),
 parts AS (
   SELECT form, width, explode(sequence(1, length(form) - width + 1)) AS place
   FROM (SELECT form, explode((SELECT ws FROM shapes)) AS width FROM own) WHERE length(form) >= width),
-candidates AS (
+met AS (
   SELECT DISTINCT p.form, c.finding_id, c.form AS entry, least(c.s, CAST(length(p.form) div 3 AS INT)) AS s
   FROM parts p JOIN cuts c ON substring(p.form, p.place, p.width) = c.c.segment AND p.width = length(c.c.segment)
-  WHERE abs(p.place - c.c.place) <= 2 * c.s AND abs(length(p.form) - length(c.form)) <= least(c.s, length(p.form) div 3)),
-measured AS (SELECT *, levenshtein(form, entry, 4) AS d FROM candidates),
+  WHERE abs(p.place - c.c.place) <= 2 * c.s AND abs(length(p.form) - length(c.form)) <= least(c.s, length(p.form) div 3))
+SELECT /*+ REPARTITION({parts}) */ * FROM met"""
+
+# The number keeps the conditions above the distance: pushed below, they would repeat it at each mention.
+SLIPPED = """
+WITH measured AS (SELECT *, levenshtein(form, entry, 4) AS d, monotonically_increasing_id() AS at FROM {candidates}),
 letters AS (
   SELECT *, CASE WHEN d > s THEN greatest(
       aggregate(transform(sequence(97, 122), a -> greatest(0, length(form) - length(replace(form, chr(a), '')) - length(entry) + length(replace(entry, chr(a), '')))), 0, (x, y) -> x + y),
       aggregate(transform(sequence(97, 122), a -> greatest(0, length(entry) - length(replace(entry, chr(a), '')) - length(form) + length(replace(form, chr(a), '')))), 0, (x, y) -> x + y)) ELSE 0 END AS other
-  FROM measured WHERE d BETWEEN 0 AND 2 * s)
+  FROM measured WHERE at >= 0 AND d BETWEEN 0 AND 2 * s)
 SELECT form, finding_id, CASE WHEN d = 2 AND array_contains({swaps_form}, entry) THEN 1 ELSE least(d, s) END AS slips, d FROM letters
-WHERE d <= s OR (other <= 2 * s - d AND (array_contains({swaps_form}, entry) OR (s = 2 AND (arrays_overlap({swaps_form}, {swaps_entry})
+WHERE at >= 0 AND (d <= s OR other <= 2 * s - d AND (array_contains({swaps_form}, entry) OR (s = 2 AND (arrays_overlap({swaps_form}, {swaps_entry})
   OR exists({swaps_form}, x -> levenshtein(x, entry, 1) >= 0) OR exists({swaps_entry}, x -> levenshtein(form, x, 1) >= 0)))))"""
 
 CHOSEN = """
@@ -145,7 +151,8 @@ def map_values(spark: SparkSession, categories: DataFrame, reference: DataFrame,
     settled = cut(spark.sql(EQUAL, forms=whole, entries=entries).union(spark.sql(BEGUN.replace("{least}", str(int(least))), forms=whole, entries=entries)), "settled")
     pieces = cut(spark.sql(PIECES, words=words, settled=settled, entries=entries, whole=whole), "pieces")
     equal = spark.sql(EQUAL, forms=pieces, entries=entries)
-    slips = SLIPPED.replace("{parts}", spark.conf.get("spark.sql.shuffle.partitions")).replace("{swaps_form}", swaps_sql("form")).replace("{swaps_entry}", swaps_sql("entry"))
-    slipped = cut(spark.sql(slips, pieces=pieces, entries=entries), "slipped")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    candidates = cut(spark.sql(CANDIDATES.replace("{parts}", parts), pieces=pieces, entries=entries), "candidates")
+    slipped = cut(spark.sql(SLIPPED.replace("{swaps_form}", swaps_sql("form")).replace("{swaps_entry}", swaps_sql("entry")), candidates=candidates), "slipped")
     chosen = cut(spark.sql(CHOSEN, settled=settled, equal=equal, pieces=pieces, slipped=small(slipped)), "chosen")
     return spark.sql(RESULT, categories=categories.select("id", "name"), chosen=small(chosen))
