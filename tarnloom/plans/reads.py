@@ -75,7 +75,7 @@ def annotators(c: Catalog) -> DataFrame:
 
 
 def annotation_batch_stats(c: Catalog, batch: int | None = None) -> DataFrame:
-    """(annotation_batch_id, images, categories, annotators, cls, det) of each batch."""
+    """(annotation_batch_id, images, categories, annotators, licenses, cls, det) of each batch."""
     parts = []
     for kind in ("cls", "det"):
         own = c.table(f"{kind}_annotations").dropDuplicates(["id"])
@@ -85,7 +85,9 @@ def annotation_batch_stats(c: Catalog, batch: int | None = None) -> DataFrame:
         rows = rows.where(F.col("annotation_batch_id") == batch)
     cats = c.table("categories").groupBy("annotation_batch_id").agg(F.countDistinct("id").alias("categories"))
     found = rows.groupBy("annotation_batch_id").agg(F.countDistinct("image_id").alias("images"), F.countDistinct("annotator_id").alias("annotators"), F.sum("c").alias("cls"), F.sum("d").alias("det"))
-    return found.join(cats, "annotation_batch_id", "left").select("annotation_batch_id", "images", _or0("categories"), "annotators", "cls", "det")
+    terms = c.table("images").where("license_id is not null").select(F.col("id").alias("image_id"), "license_id")
+    terms = rows.select("annotation_batch_id", "image_id").distinct().join(terms, "image_id").groupBy("annotation_batch_id").agg(F.countDistinct("license_id").alias("licenses"))
+    return found.join(cats, "annotation_batch_id", "left").join(terms, "annotation_batch_id", "left").select("annotation_batch_id", "images", _or0("categories"), "annotators", _or0("licenses"), "cls", "det")
 
 
 def local_distribution(c: Catalog, batch: int | None = None) -> DataFrame:

@@ -334,7 +334,7 @@ def list_annotators(c):
     return reads.annotators(c)
 
 
-@query("SELECT annotation_batch_id, count(DISTINCT image_id) AS images, count(DISTINCT category_id) AS categories, count(DISTINCT a.id) AS annotators, count(DISTINCT ann_id) AS cls, 0::BIGINT AS det FROM an LEFT JOIN annotators a ON a.name = an.annotator GROUP BY annotation_batch_id")
+@query("SELECT annotation_batch_id, count(DISTINCT image_id) AS images, count(DISTINCT category_id) AS categories, count(DISTINCT a.id) AS annotators, count(DISTINCT i.license_id) AS licenses, count(DISTINCT ann_id) AS cls, 0::BIGINT AS det FROM an LEFT JOIN annotators a ON a.name = an.annotator LEFT JOIN images i ON i.id = an.image_id GROUP BY annotation_batch_id")
 def annotation_batch_stats(c):
     return reads.annotation_batch_stats(c)
 
@@ -534,6 +534,66 @@ def integrity_checks_split(c, d):
     return checks.version_checks(left, right).select("seq", "violations")
 
 
+# boxes: no detections are delivered, so every classification gets one, from its image and category
+
+
+def boxed(spark: SparkSession, sf_dir: str) -> Catalog:
+    c = catalog(spark, sf_dir)
+    x, y, w, h = [(F.lit(a) + F.col(k) % b).cast("double") for a, k, b in ((0, "image_id", 97), (0, "image_id", 89), (5, "category_id", 31), (7, "category_id", 29))]
+    corners = F.concat_ws(",", x, y, x + w, y, x + w, y + h)
+    outline = F.concat(F.when(F.col("category_id") % 2 == 0, "[[").otherwise("["), corners, F.when(F.col("category_id") % 2 == 0, "]]").otherwise("]"))
+    score = F.when(F.col("image_id") % 5 != 0, F.col("score"))
+    c.tables["det_annotations"] = c.table("cls_annotations").select("id", "annotation_batch_id", "image_id", "category_id", F.array(x, y, w, h).alias("bbox"), outline.alias("segmentation"), F.lit(0).cast("smallint").alias("iscrowd"), score.alias("score"), "annotator_id")
+    return c
+
+
+_BOX = "CASE WHEN image_id % 5 <> 0 THEN score END"
+
+
+def box_query(sql: str):
+    """A query over a catalog with boxes; ``bx`` are the annotations with their box's score as ``s``."""
+
+    def add(f: Callable[[Catalog], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(boxed(spark, sf_dir))
+        SQL[f.__name__] = f"WITH {BASE}, bx AS (SELECT *, {_BOX} AS s FROM an) {sql}"
+        return f
+
+    return add
+
+
+@box_query(""", n AS (SELECT family, row_number() OVER (ORDER BY family) AS number FROM (SELECT DISTINCT family FROM an))
+SELECT ann_id AS id, image_id, number AS category_id, (image_id % 97)::DOUBLE AS x, (image_id % 89)::DOUBLE AS y, (5 + category_id % 31)::DOUBLE AS w, (7 + category_id % 29)::DOUBLE AS h,
+  ((5 + category_id % 31) * (7 + category_id % 29))::DOUBLE AS area, 1 AS outlines, (image_id % 89 + 7 + category_id % 29)::DOUBLE AS last, 0 AS iscrowd, s AS score, annotator FROM bx JOIN n USING (family)""")
+def export_coco_boxes(c):
+    box, outline = F.col("bbox"), F.col("segmentation")
+    sides = [box[i].alias(k) for i, k in enumerate("xywh")]
+    return sinks.coco(whole(c, "family"))["annotations"].select("id", "image_id", "category_id", *sides, "area", F.size(outline).alias("outlines"), outline[0][5].alias("last"), "iscrowd", "score", "annotator")
+
+
+@box_query(""", t AS (SELECT family AS target, count(DISTINCT image_id) FILTER (WHERE score > 0) AS positive, count(DISTINCT image_id) FILTER (WHERE score = 0) AS negative, count(DISTINCT image_id) AS a,
+  count(*) FILTER (WHERE s > 0) AS boxes_positive, count(*) FILTER (WHERE s IS NULL) AS boxes_no_score, count(*) AS boxes FROM bx GROUP BY family),
+names AS (SELECT DISTINCT lower(coalesce(supercategory, 'none')) AS target FROM categories)
+SELECT target, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, (SELECT count(*) FROM im) - coalesce(a, 0) AS unknown, coalesce(boxes_positive, 0) AS boxes_positive, coalesce(boxes_no_score, 0) AS boxes_no_score, coalesce(boxes, 0) AS boxes FROM names LEFT JOIN t USING (target)""")
+def category_distribution_boxes(c):
+    return reads.category_distribution(whole(c, "family"))
+
+
+@box_query("""SELECT im.image_id, coalesce(l, '') AS labels, coalesce(n, 0) AS n_boxes
+  FROM im LEFT JOIN (SELECT image_id, array_to_string(list_sort(list(family)), '|') AS l, count(*) AS n FROM bx GROUP BY 1) USING (image_id)""")
+def export_manifest_boxes(c):
+    return sinks.manifest(whole(c, "family")).select("image_id", "labels", "n_boxes")
+
+
+@box_query(f"""SELECT 5 AS seq, 2 * count(*) AS violations FROM cls_annotations WHERE image_id NOT IN (SELECT id FROM images)
+UNION ALL SELECT 6, 2 * count(*) FROM cls_annotations l WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.id = l.category_id AND c.annotation_batch_id = l.annotation_batch_id)
+UNION ALL SELECT 7, coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(DISTINCT id) AS n FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id, score)
+UNION ALL SELECT 8, coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(DISTINCT id) AS n FROM cls_annotations GROUP BY annotation_batch_id, image_id, category_id, annotator_id, {_BOX})
+UNION ALL SELECT 9, count(*) FROM categories WHERE id NOT IN (SELECT category_id FROM cls_annotations)
+UNION ALL SELECT 11, 0""")
+def integrity_checks_boxes(c):
+    return checks.source_checks(c).where("seq in (5, 6, 7, 8, 9, 11)").select("seq", "violations")  # those that look at annotations
+
+
 # a whole specification
 
 PIPELINE = Spec.parse(

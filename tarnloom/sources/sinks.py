@@ -39,8 +39,13 @@ def object_key():
     return F.concat_ws("/", "original_set", F.lit("images"), "batch_version", "file_name")
 
 
-def image_rows(own: Candidates) -> DataFrame:
-    return own.images.select("image_id", object_key().alias("object_key"), "original_set", "batch_version", "file_name", "width", "height", "subject_id", "date_captured", "blake3_hash", "license_id")
+def image_rows(own: Candidates, licenses: DataFrame | None = None) -> DataFrame:
+    """Images with their object key, and the name of their licence where a table of licences is given."""
+    rows = own.images.select("image_id", object_key().alias("object_key"), "original_set", "batch_version", "file_name", "width", "height", "subject_id", "date_captured", "blake3_hash", "license_id")
+    if licenses is None:
+        return rows
+    names = licenses.groupBy(F.col("id").alias("license_id")).agg(F.min("name").alias("license"))
+    return rows.join(small(names), "license_id", "left")
 
 
 def annotation_rows(own: Candidates, kind: str) -> DataFrame:
