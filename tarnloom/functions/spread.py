@@ -109,6 +109,16 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return cells(left, "_left", "_right").join(cells(right, "_right", "_left"), [*keys, *at]).drop(*at)
 
 
+def lookup(known: DataFrame, rows: DataFrame, keys: list[str], block: int = 50_000) -> DataFrame:
+    """``rows`` that have one of the keys of ``known``, with its columns; each key is there once.
+    Few keys are broadcast; otherwise keys of more than ``block`` rows are cut into blocks."""
+    few = small(known)
+    if few is not known:
+        return rows.join(few, keys)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    return salted_join(known, rows, keys, hot, block)
+
+
 def ranked(df: DataFrame, key: str, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """``df`` with ``name``, a 0-based dense position among the rows of each ``key``.
 
