@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spread import cut, salted_join
+from ..functions.spread import cut, lookup, salted_join
 
 BLOCK = 50_000
 
@@ -164,7 +164,7 @@ def found(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     own = cut(own, "forms")
     forms_ = own.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("_a"), F.max("text").alias("_b")).where("_a <> _b").select("form", "n")
     forms_ = cut(forms_, "several")
-    rows = own.join(forms_.select("form"), "form").distinct()
+    rows = lookup(forms_.select("form"), own, ["form"], block).distinct()
     other = rows.select("form", F.col("doc_id").alias("doc_id_b"), F.col("text").alias("_text"))
     pairs = salted_join(rows.withColumnRenamed("doc_id", "doc_id_a"), other, ["form"], forms_.withColumn("m", F.col("n")), block)
     return pairs.where("doc_id_a < doc_id_b and text <> _text").select("doc_id_a", "doc_id_b").distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import kept, with_hex, with_subject
-from ..functions.spread import cut, salted_join, small
+from ..functions.spread import cut, lookup, salted_join, small
 from . import nearbits
 
 RADIUS = 10
@@ -86,17 +86,16 @@ def overlaps(images: DataFrame, signatures: DataFrame, subjects: DataFrame, memb
     e = values.where("not train").select(F.col("version").alias("eval_version_id"), F.col("image_id").alias("eval_image_id"), "reason", "value").distinct()
     t = values.where("train").select(F.col("image_id").alias("train_image_id"), "reason", "value").distinct()
     matched = cut(contained(e, t), "matched")
-    some = small(matched.select("reason", "value", "containment"))
-    left = e.join(some, ["reason", "value"])
-    right = t.join(small(matched.select("reason", "value")), ["reason", "value"], "left_semi")
-    whole = salted_join(left, right, ["reason", "value"], matched, block).select("eval_version_id", "eval_image_id", "train_image_id", "reason", "containment")
+    key = ["reason", "value"]
+    left, right = lookup(matched.select(*key, "containment"), e, key, block), lookup(matched.select(*key), t, key, block)
+    whole = salted_join(left, right, key, matched, block).select("eval_version_id", "eval_image_id", "train_image_id", "reason", "containment")
     # single bits as words, on distinct signatures
     ev = own.where("not train and hi is not null").select("hi", "lo", F.col("version").alias("eval_version_id"), F.col("image_id").alias("eval_image_id")).distinct()
     tr = own.where("train and hi is not null").select("hi", "lo", F.col("image_id").alias("train_image_id")).distinct()
     marks = [cut(side.select("hi", "lo").distinct(), "marks") for side in (ev, tr)]
     near = cut(nearbits.near(*marks, radius), "near")
-    ends = [small(near.select(F.col(f"{k}_hi").alias("hi"), F.col(f"{k}_lo").alias("lo")).distinct()) for k in ("p", "i")]
-    close = nearbits.expand(near, *[side.join(end, ["hi", "lo"], "left_semi") for side, end in zip((ev, tr), ends)], block)
+    ends = [near.select(F.col(f"{k}_hi").alias("hi"), F.col(f"{k}_lo").alias("lo")).distinct() for k in ("p", "i")]
+    close = nearbits.expand(near, *[lookup(end, side, ["hi", "lo"], block) for side, end in zip((ev, tr), ends)], block)
     close = close.select("eval_version_id", "eval_image_id", "train_image_id", F.lit("near").alias("reason"), (F.col("shared") / nearbits.BITS).alias("containment"))
     key = ["eval_version_id", "eval_image_id", "train_image_id", "reason"]
     return whole.union(close).groupBy(*key).agg(F.max("containment").alias("containment"))

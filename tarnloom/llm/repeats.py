@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import kept, with_hex
-from ..functions.spread import cut, salted_join, scratch, small
+from ..functions.spread import cut, lookup, salted_join, scratch, small
 from . import nearbits
 
 RADIUS = 10
@@ -163,11 +163,11 @@ class ChunkStore:
             for key in buckets:
                 self.fs.delete(self._at(table, f"delivery={key}"), True)
         of = F.create_map(*[F.lit(x) for pair in buckets.items() for x in pair])
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), sum(buckets.values()))
 
         def write(table: str, rows: DataFrame, by: Column) -> DataFrame:
             placed = rows.where(F.col("delivery").isin(*buckets)).withColumn("bucket", F.pmod(by, of[F.col("delivery")]).cast("int"))
-            placed.repartition(min(parts, 4000), "delivery", "bucket").write.mode("append").partitionBy("delivery", "bucket").parquet(f"{self.path}/{table}")
+            # a bucket that one picture fills is written by several tasks
+            placed.hint("rebalance", "delivery", "bucket").write.mode("append").partitionBy("delivery", "bucket").parquet(f"{self.path}/{table}")
             return self._read(table, list(buckets))
 
         members = write("members", digests.select("delivery", "digest", "image_id", "batch", "seq"), F.xxhash64("digest"))
@@ -225,13 +225,13 @@ class ChunkStore:
         and the same or near-same stored ones of other batches that were there before or with them."""
         arrived = F.col("delivery").isin(*keys) & (F.col("seq") > 0)
         heads = cut(self.same(keys), "heads")
-        members = cut(self.hit("members", heads, F.xxhash64("digest")).join(small(heads), "digest"), "members")
+        members = cut(lookup(heads, self.hit("members", heads, F.xxhash64("digest")), ["digest"], block), "members")
         hot = members.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.count_if(arrived).alias("m"))
         old = members.select("digest", F.col("image_id").alias("y"), F.col("batch").alias("y_batch"), F.col("seq").alias("y_seq"))
         copies = _ordered(salted_join(members.where(arrived).drop("delivery", "bucket"), old, ["digest"], hot, block))
         links = cut(self.near(keys), "links")
         touched = cut(links.select(F.col("p_hi").alias("hi"), F.col("p_lo").alias("lo")).union(links.select("i_hi", "i_lo")).distinct(), "touched")
-        signed = cut(self.hit("signatures", touched, F.xxhash64("hi", "lo")).join(small(touched), ["hi", "lo"]), "signed")
+        signed = cut(lookup(touched, self.hit("signatures", touched, F.xxhash64("hi", "lo")), ["hi", "lo"], block), "signed")
         x = signed.where(arrived).select("hi", "lo", "image_id", "batch", "seq")
         y = signed.select("hi", "lo", F.col("image_id").alias("y"), F.col("batch").alias("y_batch"), F.col("seq").alias("y_seq"))
         near = _ordered(nearbits.expand(links, x, y, block))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import captured, kept, with_hex, with_subject
-from ..functions.spread import cut, salted_join, small
+from ..functions.spread import cut, lookup, salted_join, small
 
 FIELDS = ("license_id", "date_captured", "subject_id")
 
@@ -41,7 +41,7 @@ def members(images: DataFrame, subjects: DataFrame, batches: DataFrame, trust: D
     base = with_hex(images.where("id is not null").select(F.col("id").alias("image_id"), "image_batch_id", "blake3_hash", "license_id", "date_captured"), "blake3_hash", 64, "_hex")
     base = cut(kept(base, "_hex").select("image_id", "image_batch_id", F.unhex("_hex").alias("digest"), "license_id", captured("date_captured").alias("date_captured")), "digests")
     groups = cut(base.groupBy("digest").agg(F.min("image_id").alias("group_image_id"), F.max("image_id").alias("_last")).where("group_image_id <> _last").drop("_last"), "groups")
-    own = base.join(small(groups), "digest")
+    own = lookup(groups, base, ["digest"])
     named = kept(with_subject(subjects.select("image_id", "subject_id").join(small(own.select("image_id")), "image_id", "left_semi"), "subject_id", "_key"), "_key")
     named = named.groupBy("image_id").agg(F.min("_key").alias("subject"))
     ranks = trust.where("original_set_name is not null").groupBy("original_set_name").agg(F.min("trust_rank").alias("trust_rank"))
