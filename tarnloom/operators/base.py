@@ -21,20 +21,27 @@ TARGETS = "category_id long, target string"
 class Candidates:
     """Images, their classification and detection annotations, and the target of each mapped category.
 
-    Every annotation's image is among the images; ``prune`` restores that.
+    Every annotation's image is among the images; ``prune`` restores that. Steps that only
+    take images away leave ``base``, the annotations before any of them: what is left of
+    them depends on the images that are left alone.
     """
 
     images: DataFrame
     cls: DataFrame
     det: DataFrame
     targets: DataFrame
+    base: tuple[DataFrame, DataFrame] | None = None
 
     def with_(self, **changes: DataFrame) -> Candidates:
-        return Candidates(**{"images": self.images, "cls": self.cls, "det": self.det, "targets": self.targets} | changes)
+        """With other parts; other annotations have no base, and other images must be some of those before."""
+        base = None if {"cls", "det"} & changes.keys() else self.base
+        return Candidates(**{"images": self.images, "cls": self.cls, "det": self.det, "targets": self.targets} | changes, base=base)
 
     def prune(self) -> Candidates:
         ids = self.images.select("image_id")
-        return self.with_(cls=self.cls.join(ids, "image_id", "left_semi"), det=self.det.join(ids, "image_id", "left_semi"))
+        cls, det = self.base or (self.cls, self.det)
+        kept = [f.join(ids, "image_id", "left_semi") for f in (cls, det)]
+        return Candidates(self.images, *kept, self.targets, (cls, det))
 
     def keep_images(self, ids: DataFrame) -> Candidates:
         return self.with_(images=self.images.join(ids.select("image_id"), "image_id", "left_semi")).prune()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +54,9 @@ def kind_of(step: Step) -> str:
     return f"filter.{step['criterion']}" if step.op == "filter" else step.op
 
 
-def step_result(catalog: Catalog, step: Step, inputs: list[Candidates], write: bool = True) -> Result:
-    """Applies a step; with ``write``, its candidate set goes to the shared folder.
+def step_result(catalog: Catalog, step: Step, inputs: list[Candidates], write: bool = True, whole: bool = True) -> Result:
+    """Applies a step; with ``write``, its candidate set goes to the shared folder, without
+    ``whole`` only its images where the annotations it chooses from are there already.
 
     What is written is the narrow candidate set; parts that an input already has, and
     detections where the catalog has none, are not written, and the parts are written
@@ -64,9 +65,10 @@ def step_result(catalog: Catalog, step: Step, inputs: list[Candidates], write: b
     result = OPERATORS[step.op](catalog, inputs, step)
     own = result.candidates
     if "det_annotations" not in catalog.tables:
-        own = own.with_(det=_no_boxes(catalog))
+        det = _no_boxes(catalog)
+        own = replace(own, det=det, base=own.base and (own.base[0], det))
     result.candidates = own
-    return cut_result(catalog, result, inputs) if write else result
+    return cut_result(catalog, result, inputs, whole) if write else result
 
 
 def _no_boxes(catalog: Catalog) -> DataFrame:
@@ -74,13 +76,17 @@ def _no_boxes(catalog: Catalog) -> DataFrame:
     return catalog.nothing(", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
-def cut_result(catalog: Catalog, result: Result, inputs: list[Candidates] = ()) -> Result:
+def cut_result(catalog: Catalog, result: Result, inputs: list[Candidates] = (), whole: bool = True) -> Result:
     own = result.candidates
-    known = {id(f) for f in [*catalog._nothing.values(), *(getattr(i, p) for i in inputs for p in PARTS)]}
-    todo = [p for p in PARTS if id(getattr(own, p)) not in known]
+    there = {id(f) for f in [*catalog._nothing.values(), *catalog.written]}
+    known = there | {id(getattr(i, p)) for i in inputs for p in PARTS}
+    chosen = not whole and own.base is not None and all(id(f) in there for f in own.base)
+    todo = [p for p in (("images", "targets") if chosen else PARTS) if id(getattr(own, p)) not in known]
     with ThreadPoolExecutor(len(PARTS)) as pool:
         cuts = {p: pool.submit(cut, getattr(own, p), p) for p in todo}
-    result.candidates = own.with_(**{p: f.result() for p, f in cuts.items()})
+    made = {p: f.result() for p, f in cuts.items()}
+    catalog.written += made.values()
+    result.candidates = own.with_(**made).prune() if chosen else own.with_(**made)
     return result
 
 
@@ -129,7 +135,8 @@ def run(catalog: Catalog, spec: Spec, keep_final: bool = False) -> Run:
             result = Result(own, [], lambda s=s: OPERATORS["union"](catalog, [results[i].candidates for i in s.inputs], s).stats)
             results[s.id] = cut_result(catalog, result) if s.id in kept else result
         else:
-            results[s.id] = step_result(catalog, s, [results[i].candidates for i in s.inputs], s.id in kept)
+            many = keep_final and s.id == spec.final or any(u.op == "conflict_resolve" and s.id in u.inputs for u in spec.steps)
+            results[s.id] = step_result(catalog, s, [results[i].candidates for i in s.inputs], s.id in kept, many)
     return Run(spec, results)
 
 

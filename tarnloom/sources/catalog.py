@@ -39,6 +39,7 @@ class Catalog:
         self.spark = spark
         self.tables = tables
         self._nothing: dict[str, DataFrame] = {}
+        self.written: list[DataFrame] = []  # frames that a run reads from its own tables
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> Catalog:
